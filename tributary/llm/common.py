@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def held_out(doc_id: Column) -> Column:
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", budget: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `budget` bytes of text, one row at least."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         begin = held = 0
         for i, n in enumerate(lengths):
             if held and held + n > budget:

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import chunks, mix, table, texts
 
@@ -107,12 +109,11 @@ def _blocks(items: DataFrame, block_chars: int) -> list[list[tuple[int | None, s
         yield [tuple(r) for r in part.select("item_id", "text").collect()]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], windows: list, row: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], windows: list, row: Callable, new: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         rows = [row(windows, x) for x in texts(batch)]
-        keep = [batch.column(n) for n in schema.names[: len(schema.names) - len(rows[0])]]
-        new = [pa.array(list(c), schema.field(len(keep) + i).type) for i, c in enumerate(zip(*rows))]
-        yield pa.RecordBatch.from_arrays([*keep, *new], schema=schema)
+        added = [pa.array(list(c), f.type) for c, f in zip(zip(*rows), new)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *new.names])
 
 
 def _judge(windows: list, text: bytes) -> tuple:
@@ -151,15 +152,12 @@ def _clean(windows: list, text: bytes) -> tuple:
 
 
 def _apply(docs: DataFrame, items: DataFrame, row: Callable, result: str, block_chars: int) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    spark = docs.sparkSession
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(result).fields])
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    added = StructType.fromDDL(result)
+    new = to_arrow_schema(added)
     # Blocks are separate broadcasts, so that no single one grows with the benchmark.
-    windows = [spark.sparkContext.broadcast(Windows(b)) for b in _blocks(items, block_chars)]
-    return docs.mapInArrow(lambda batches: _scan(batches, windows, row, arrow), schema)
+    windows = [docs.sparkSession.sparkContext.broadcast(Windows(b)) for b in _blocks(items, block_chars)]
+    schema = StructType([*docs.schema.fields, *added.fields])
+    return docs.mapInArrow(lambda batches: _scan(batches, windows, row, new), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
