@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Text handled at once by a Python worker, in bytes; one document at least.
 CHUNK_BYTES = 2_000_000
 
+#: Rows of ids (about 30 bytes each in memory) that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
+
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -55,6 +59,24 @@ def drop_stash(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside hands so many rows at once to Python; for wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows; else joined by shuffle."""
+    df = stash(df, "small")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower
     case; empty for null and for a url without ``://``."""

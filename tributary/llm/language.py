@@ -22,6 +22,8 @@ SAMPLE, SAMPLE_WINDOWS = 4_000, 3
 TRAIN_BYTES = 128
 EMBEDDING, WIDTHS, FILTERS = 8, (2, 3, 4), 16
 EPOCHS, BATCH, RATE = 4, 64, 0.004
+#: A small sample is gone through more often, up to so many steps.
+LEAST_STEPS = 700
 #: Windows that are scored at once.
 BLOCK = 512
 
@@ -90,8 +92,10 @@ class ByteNet:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        t, steps = 0, EPOCHS * -(-len(x) // BATCH)
-        for _ in range(EPOCHS):
+        once = -(-len(x) // BATCH)
+        epochs = max(EPOCHS, -(-LEAST_STEPS // once))
+        t, steps = 0, epochs * once
+        for _ in range(epochs):
             order = rng.permutation(len(x))
             for i in range(0, len(x), BATCH):
                 at = order[i : i + BATCH]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, quality, toxicity, url_filter
+from . import decontaminate, language, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_language": language.op6_language,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 

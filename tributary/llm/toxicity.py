@@ -4,9 +4,11 @@ skip-grams; the L1 term leaves few weights, which are broadcast to the scan."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +23,35 @@ MOST_FEATURES = 20_000
 #: A feature of fewer training documents is left out.
 LEAST_DOCS = 3
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 0.1
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 0.1
+#: Letters of the stems: inflected and compound words share them.
+STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def features(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Hashes of the words, the pairs of neighbours and the pairs one or two
-    words apart, A-Z in lower case, signs as white space. Not distinct."""
-    w = hashes.of(text.translate(_LETTERS).split())
-    out = [w]
+class Stems(dict):
+    """Hashes of a word's first letters; starts afresh when it holds `most` words."""
+
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        letters = word.decode("utf-8", "replace")
+        found = self[word] = tuple(xxhash.xxh64_intdigest(letters[:n].encode(), n) for n in STEMS)
+        return found
+
+
+def features(text: bytes, hashes: WordHashes, stems: Stems) -> np.ndarray:
+    """Hashes of the words and their stems, the pairs of neighbours and the pairs
+    one or two words apart, A-Z in lower case, signs as white space. Not distinct."""
+    found = text.translate(_LETTERS).split()
+    w = hashes.of(found)
+    out = [w, np.fromiter(chain.from_iterable(map(stems.__getitem__, set(found))), np.uint64)]
     for gap in (1, 2, 3):
         if len(w) > gap:
             out.append(mix(w[:-gap] * np.uint64(0x9E3779B97F4A7C15 + 2 * gap) + w[gap:]))
@@ -39,9 +59,9 @@ def features(text: bytes, hashes: WordHashes) -> np.ndarray:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    hashes, stems = WordHashes(), Stems()
     for batch in chunks(batches):
-        rows = [np.unique(features(t, hashes))[:MOST_FEATURES].tobytes() for t in texts(batch)]
+        rows = [np.unique(features(t, hashes, stems))[:MOST_FEATURES].tobytes() for t in texts(batch)]
         yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("toxic"), pa.array(rows, pa.binary())], names=["order", "toxic", "found"])
 
 
@@ -103,11 +123,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, weights, bias = shared.value
-        hashes = WordHashes()
+        hashes, stems = WordHashes(), Stems()
         for batch in chunks(batches):
             out = []
             for t in texts(batch):
-                f = features(t, hashes)
+                f = features(t, hashes, stems)
                 total = bias
                 if len(keys) and len(f):
                     i = np.minimum(np.searchsorted(keys, f), len(keys) - 1)
