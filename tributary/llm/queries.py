@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter
+from . import decontaminate, html_text, language, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_html_extraction": html_text.op1_html_extraction,
     "op2_mixing": mixing.op2_mixing,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_revisits": warc.op5_revisits,
     "op6_language": language.op6_language,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -19,5 +21,6 @@ QUERIES = {
 ORACLE = {
     "op3_decontamination": decontaminate.OP3_SQL,
     "op4_quality_rules": quality.OP4_SQL,
+    "op5_revisits": warc.OP5_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
