@@ -33,7 +33,7 @@ def _load() -> None:
         import_module(f"tributary.plans.{module}")
 
 
-MODULES: list[str] = ["trends"]
+MODULES = ["trends", "relational", "texts", "vectors", "graphs", "conversations", "upserts", "streams"]
 
 
 def queries() -> dict[str, Query]:
