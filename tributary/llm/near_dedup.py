@@ -23,9 +23,10 @@ MANTISSA = 10
 #: A pair is verified if its estimate is at most this far below the threshold: four
 #: standard deviations of an estimate from 96 registers.
 MARGIN = 0.16
-#: Candidate pairs that are left after a round and are verified all at once, per
-#: document; while more are left, another round compares with one more member of each group.
-LEFT_PAIRS = 2.0
+#: Pairs of a bucket's members in different components that may be left after a
+#: round, per document, for them to be compared at once (bands and sizes first; few
+#: go on); while more are left, another round compares with one more member of each bucket.
+LEFT_PAIRS = 64.0
 
 
 def register(x: np.ndarray) -> np.ndarray:
@@ -37,39 +38,28 @@ def register(x: np.ndarray) -> np.ndarray:
     return (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | (body.astype(np.uint64) & np.uint64((1 << MANTISSA) - 1)).astype(np.uint16)
 
 
-def _donors() -> np.ndarray:
-    """For every bucket the order in which it borrows from others while they are empty."""
-    rng = np.random.default_rng(9)
-    return rng.integers(0, BUCKETS, (64, BUCKETS))
-
-
-_DONORS = _donors()
+_MULTIPLIERS = np.random.default_rng(9).integers(0, 1 << 62, BUCKETS).astype(np.uint64) * np.uint64(4) + np.uint64(1)
+#: Hashes that are multiplied at once.
+_PIECE = 4096
 
 
 def sketch(distinct: np.ndarray) -> np.ndarray:
-    """The registers of a set of 64-bit hashes. A hash falls into one bucket, whose
-    least one is kept; an empty bucket borrows from another, the same in all sets
-    that fill the same buckets."""
-    h = mix(distinct)
-    bucket = ((h >> np.uint64(32)) * np.uint64(BUCKETS)) >> np.uint64(32)
-    low = np.full(BUCKETS, 1 << 32, np.uint64)
-    np.minimum.at(low, bucket.astype(np.intp), h & np.uint64(0xFFFFFFFF))
-    full = low < (1 << 32)
-    out = register(np.where(full, low, 0))
-    for row in _DONORS:
-        empty = np.flatnonzero(~full)
-        if not len(empty):
-            break
-        donors = row[empty]
-        ok = low[donors] < (1 << 32)
-        out[empty[ok]] = out[donors[ok]]
-        full[empty[ok]] = True
-    return out
+    """The registers of a set of 64-bit hashes.
+
+    Every bucket has a hash function of its own and keeps its minimum over the whole
+    set. Were the set dealt out over the buckets, most would be empty for a short
+    text, and a band's registers would all come from one or two shingles: a common
+    line would then fill a bucket with hundreds of unlike documents.
+    """
+    low = np.full(BUCKETS, np.iinfo(np.uint64).max)
+    for i in range(0, len(distinct), _PIECE):
+        np.minimum(low, np.multiply.outer(_MULTIPLIERS, distinct[i : i + _PIECE]).min(1), out=low)
+    return register(low >> np.uint64(32))
 
 
 @lru_cache(maxsize=10_000)
 def _collisions(n: int, m: int) -> float:
-    p, q = (np.diff(1 - (1 - _EDGES) ** max(1.0, 2 ** (x / 8) / BUCKETS)) for x in (n, m))
+    p, q = (np.diff(1 - (1 - _EDGES) ** max(1.0, 2 ** (x / 8))) for x in (n, m))
     return float(p @ q)
 
 
@@ -121,13 +111,13 @@ def _sketches(width: int):
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every document and band."""
+    """The keys of every document's bands."""
     salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
         r = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint64).reshape(-1, BANDS)
-        keys = mix(r ^ salt)
-        ids = np.repeat(batch.column("doc_id").to_numpy(), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "doc_id"])
+        keys = pa.array(mix(r ^ salt).ravel().view(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), keys)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_shingles"), lists], names=["doc_id", "n_shingles", "bands"])
 
 
 def _likely(threshold: float):
@@ -184,6 +174,16 @@ def _verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int,
     return likely.join(sets("a"), "a").join(sets("b"), "b").mapInArrow(_confirmed(percent), "a long, b long")
 
 
+def _between(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's members in different components whose sizes allow a link,
+    each from the first band that they share."""
+    side = lambda c: rows.select("key", F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("bands").alias(f"b{c}"))
+    x, y = side("a"), side("b")
+    first = F.expr("element_at(ba, int(array_position(zip_with(ba, bb, (p, q) -> p = q), true)))")
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return x.join(y, (x["key"] == y["key"]) & F.expr("a < b AND ca <> cb") & sizes & (first == x["key"])).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = stash(copies, "copies")
     firsts = stash(known.dropDuplicates(["doc_id"]).join(classes.selectExpr("first AS doc_id"), "doc_id", "left_semi"), "firsts")
     n_docs = firsts.count()
-    rows = stash(firsts.mapInArrow(_bands, "key long, doc_id long"), "bands")
+    bands = stash(firsts.mapInArrow(_bands, "doc_id long, n_shingles long, bands array<long>"), "bands")
+    rows = bands.select("doc_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
     rows = stash(rows.join(shared.select("key", "lead"), "key"), "shared")
     texts_ = docs.where("doc_id IS NOT NULL")
@@ -227,8 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if not left:
             break
         if left <= LEFT_PAIRS * n_docs:
-            x, y = rows.selectExpr("key", "doc_id AS a", "component AS ca"), rows.selectExpr("key", "doc_id AS b", "component AS cb")
-            pairs = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+            pairs = _between(rows.join(bands, "doc_id"), percent)
             links = stash(links.unionByName(_verify(pairs, firsts, texts_, width, percent)), "links")
             group = stash(components(links), "groups")
             break
