@@ -58,10 +58,11 @@ def min_cost_flow(supply: dict[str, int], members: dict[str, list[str]], quota:
             while room[p] > 0:
                 # Breadth first: pattern -> source, and back along flow that could move.
                 came: dict[tuple[str, str], tuple[str, str] | None] = {("p", p): None}
-                queue, end = [("p", p)], None
+                queue: list[tuple[str, str]] = [("p", p)]
+                end: tuple[str, str] | None = None
                 for kind, x in queue:
                     if kind == "s" and left[x] > 0:
-                        end = x
+                        end = (kind, x)  # x may be None, the source of rows without one
                         break
                     nxt = [("s", s) for s in members[x]] if kind == "p" else [("p", q) for q in sorted(gives[x])]
                     for y in nxt:
@@ -70,12 +71,12 @@ def min_cost_flow(supply: dict[str, int], members: dict[str, list[str]], quota:
                             queue.append(y)
                 if end is None:
                     break
-                path, at = [], ("s", end)
+                path, at = [], end
                 while at is not None:
                     path.append(at)
                     at = came[at]
                 path.reverse()
-                amount = min(room[p], left[end])
+                amount = min(room[p], left[end[1]])
                 for (k, a), (_, b) in zip(path, path[1:]):
                     if k == "s":
                         amount = min(amount, flow[b, a])
@@ -88,7 +89,7 @@ def min_cost_flow(supply: dict[str, int], members: dict[str, list[str]], quota:
                         if not flow[b, a]:
                             gives[a].discard(b)
                 room[p] -= amount
-                left[end] -= amount
+                left[end[1]] -= amount
     return {k: v for k, v in flow.items() if v}
 
 
