@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,7 +10,8 @@ from ..operators import access, windows
 from ..sources.adapters import POSTS_SQL, posts, table
 from .registry import query
 
-N = F.count(F.lit(1))
+def rows_() -> Column:
+    return F.count(F.lit(1))
 
 
 @query("SELECT nation.n_name AS name, region.r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -25,7 +26,7 @@ def recency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of the last window; now is the last post."""
     rows = posts(spark, sf_dir)
     since = rows.agg((F.max("posted_at") - F.lit(access.parse_window("7d"))).alias("since"))
-    return rows.join(F.broadcast(since), F.col("posted_at") >= F.col("since")).groupBy("topic").agg(N.alias("n"))
+    return rows.join(F.broadcast(since), F.col("posted_at") >= F.col("since")).groupBy("topic").agg(rows_().alias("n"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 100000 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -33,14 +34,14 @@ def optional_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicates that are given, and a semi join for IN."""
     rows = access.where_given(table(spark, sf_dir, "orders"), status=F.col("o_orderstatus") == "O", price=F.col("o_totalprice") >= 100_000, date=None)
     members = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return rows.join(members, "o_custkey", "left_semi").agg(N.alias("n"), F.countDistinct("o_custkey").alias("customers"))
+    return rows.join(members, "o_custkey", "left_semi").agg(rows_().alias("n"), F.countDistinct("o_custkey").alias("customers"))
 
 
 @query("SELECT (json_extract_string(props, '$.k')::INT % 10)::INT AS k10, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE json_extract_string(props, '$.k')::INT >= 50 GROUP BY 1")
 def json_props_filter_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A typed predicate and a group on a JSON key."""
     rows = table(spark, sf_dir, "events").select("value", F.get_json_object("props", "$.k").cast("int").alias("k")).where("k >= 50")
-    return rows.groupBy((F.col("k") % 10).alias("k10")).agg(N.alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return rows.groupBy((F.col("k") % 10).alias("k10")).agg(rows_().alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_name ILIKE '%RING%' OR p_brand ILIKE '%ring%' OR p_type ILIKE '%ring%'")
@@ -63,7 +64,7 @@ def any_word_of_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tri_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state from two columns, and its counts."""
     state = F.when(F.col("o_orderstatus") == "F", "revoked").when(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"), "expired").otherwise("active")
-    return table(spark, sf_dir, "orders").groupBy(state.alias("state")).agg(N.alias("n"))
+    return table(spark, sf_dir, "orders").groupBy(state.alias("state")).agg(rows_().alias("n"))
 
 
 @query("SELECT vec_id FROM embeddings WHERE label IN (1, 2, 3) AND vec_id >= 10 AND vec_id <= 400")
@@ -75,7 +76,7 @@ def payload_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POSTS_SQL}, l AS (SELECT channel_id, arg_max(value, (posted_at, post_id)) AS value, count(*) AS n FROM posts GROUP BY 1) SELECT channel_id, value, n FROM l WHERE n >= 30 AND value >= 1.5""")
 def stable_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds on the latest metrics of a key."""
-    last = posts(spark, sf_dir).groupBy("channel_id").agg(F.max_by("value", F.struct("posted_at", "post_id")).alias("value"), N.alias("n"))
+    last = posts(spark, sf_dir).groupBy("channel_id").agg(F.max_by("value", F.struct("posted_at", "post_id")).alias("value"), rows_().alias("n"))
     return last.where("n >= 30 AND value >= 1.5")
 
 
@@ -141,9 +142,9 @@ def pivot_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_linenumber) AS n_items FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def star_left_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines are counted by order first, so that nothing fans out."""
-    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(N.alias("items"))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(rows_().alias("items"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(items, "o_orderkey", "left")
-    per = o.groupBy("c_custkey").agg(N.alias("n_orders"), F.sum("items").alias("n_items"))
+    per = o.groupBy("c_custkey").agg(rows_().alias("n_orders"), F.sum("items").alias("n_items"))
     none = F.lit(0).cast("long")
     return table(spark, sf_dir, "customer").select("c_custkey").join(per, "c_custkey", "left").select("c_custkey", F.coalesce("n_orders", none).alias("n_orders"), F.coalesce("n_items", none).alias("n_items"))
 
@@ -168,7 +169,7 @@ def semi_join_rls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def later_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with an earlier one of the same key, by a window in place of an inequality join."""
     rows = windows.ranked(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderdate"), F.col("o_orderkey"))
-    return rows.where("rank > 1").groupBy("o_custkey").agg(N.alias("n"))
+    return rows.where("rank > 1").groupBy("o_custkey").agg(rows_().alias("n"))
 
 
 @query("""WITH m AS (SELECT p_partkey AS old, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS new FROM part)
@@ -177,7 +178,7 @@ def key_remap_update_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys are replaced by the oldest of their kind."""
     m = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.min("p_partkey").over(Window.partitionBy("p_name", "p_brand")).alias("new"))
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity").join(m, "l_partkey", "left")
-    return rows.groupBy(F.coalesce("new", "l_partkey").alias("part")).agg(N.alias("n"), F.sum("l_quantity").alias("quantity"))
+    return rows.groupBy(F.coalesce("new", "l_partkey").alias("part")).agg(rows_().alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 @query("""SELECT c_custkey, (SELECT arg_min(o_orderkey, (o_orderdate, o_orderkey)) FROM orders WHERE o_custkey = c_custkey) AS first_order FROM customer""")
@@ -234,7 +235,7 @@ def conditional_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     high = F.col("value") > 50
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        N.alias("n"), F.count_if(high).alias("n_high"), F.count_if(F.col("value") <= 1).alias("n_low"), F.min(F.when(F.col("value") > 100, F.col("ts"))).alias("first_high"),
+        rows_().alias("n"), F.count_if(high).alias("n_high"), F.count_if(F.col("value") <= 1).alias("n_low"), F.min(F.when(F.col("value") > 100, F.col("ts"))).alias("first_high"),
         F.round(F.avg(F.when(high, F.col("value"))), 6).alias("mean_high"), F.round(F.avg(micros % 1_000_000 / 1000), 3).alias("mean_ms"),
     )
 
@@ -243,13 +244,13 @@ def conditional_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A07, A08."""
     pair = F.concat_ws(":", F.col("o_custkey").cast("string"), "o_orderpriority")
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(N.alias("n"), F.countDistinct("o_custkey").alias("customers"), F.countDistinct(pair).alias("pairs"))
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(rows_().alias("n"), F.countDistinct("o_custkey").alias("customers"), F.countDistinct(pair).alias("pairs"))
 
 
 @query("SELECT text, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")
 def having_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that several documents have, and the oldest."""
-    return table(spark, sf_dir, "documents").groupBy("text").agg(N.alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    return table(spark, sf_dir, "documents").groupBy("text").agg(rows_().alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
 @query("SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS items FROM lineitem GROUP BY 1")
@@ -270,7 +271,7 @@ def relational_division(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, count(l_linenumber) AS actual, coalesce(max(l_linenumber), 0)::BIGINT AS expected FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1 HAVING count(l_linenumber) <> coalesce(max(l_linenumber), 0)")
 def expected_against_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13."""
-    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(N.alias("actual"), F.max("l_linenumber").cast("long").alias("expected"))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(rows_().alias("actual"), F.max("l_linenumber").cast("long").alias("expected"))
     zero = F.lit(0).cast("long")
     rows = table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey", "left")
     return rows.select("o_orderkey", F.coalesce("actual", zero).alias("actual"), F.coalesce("expected", zero).alias("expected")).where("actual <> expected")
@@ -279,7 +280,7 @@ def expected_against_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag AS kind, l_suppkey AS tenant, count(*) AS n, round(sum(l_extendedprice) / 1073741824, 9) AS gb FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_suppkey))")
 def storage_usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes by type, and by type and tenant."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("kind"), F.col("l_suppkey").alias("tenant")).agg(N.alias("n"), F.sum("l_extendedprice").alias("bytes"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("kind"), F.col("l_suppkey").alias("tenant")).agg(rows_().alias("n"), F.sum("l_extendedprice").alias("bytes"))
     whole = rows.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).withColumn("tenant", F.lit(None).cast("long"))
     return rows.unionByName(whole).select("kind", "tenant", "n", F.round(F.col("bytes") / 2**30, 9).alias("gb"))
 
@@ -289,13 +290,13 @@ def storage_usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interaction_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of a user's last hundred interactions."""
     rows = windows.ranked(table(spark, sf_dir, "events"), ["user_id"], F.desc("ts"), F.desc("event_id")).where("rank <= 100")
-    return rows.groupBy("user_id", "event_type").agg(N.alias("n"))
+    return rows.groupBy("user_id", "event_type").agg(rows_().alias("n"))
 
 
 @query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'events', count(*) FROM events")
 def union_of_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A28, D01."""
-    parts = [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), N.alias("n")) for t in ("orders", "customer", "events")]
+    parts = [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), rows_().alias("n")) for t in ("orders", "customer", "events")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -312,7 +313,7 @@ def pipeline_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     last = rows.agg(F.max("ts").alias("last"))
     recent = F.col("ts") >= F.col("last") - F.expr("INTERVAL 1 DAY")
-    return rows.crossJoin(F.broadcast(last)).agg(N.alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(recent).alias("last_day"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return rows.crossJoin(F.broadcast(last)).agg(rows_().alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(recent).alias("last_day"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 @query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -389,7 +390,7 @@ def stable_or_emerging(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o_custkey, o_orderkey FROM n WHERE n <= 2 OR (o_totalprice >= 10240 AND k <= 2)""")
 def sample_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of two or fewer; else the two largest that are not too small."""
-    rows = windows.ranked(table(spark, sf_dir, "orders"), ["o_custkey"], F.desc("o_totalprice"), F.col("o_orderkey"), name="k").withColumn("n", N.over(Window.partitionBy("o_custkey")))
+    rows = windows.ranked(table(spark, sf_dir, "orders"), ["o_custkey"], F.desc("o_totalprice"), F.col("o_orderkey"), name="k").withColumn("n", rows_().over(Window.partitionBy("o_custkey")))
     return rows.where("n <= 2 OR (o_totalprice >= 10240 AND k <= 2)").select("o_custkey", "o_orderkey")
 
 
@@ -414,7 +415,7 @@ def keep_first_after_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POSTS_SQL} SELECT channel_id, time_bucket(INTERVAL 1 HOUR, posted_at) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM posts GROUP BY 1, 2""")
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond the inventory: tumbling windows of an hour."""
-    rows = posts(spark, sf_dir).groupBy("channel_id", F.window("posted_at", "1 hour").alias("w")).agg(N.alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    rows = posts(spark, sf_dir).groupBy("channel_id", F.window("posted_at", "1 hour").alias("w")).agg(rows_().alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return rows.select("channel_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "total")
 
 
@@ -422,4 +423,4 @@ def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond the inventory: a cube."""
     rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.cube(F.col("n_regionkey").alias("region"), F.col("c_mktsegment").alias("segment")).agg(N.alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    return rows.cube(F.col("n_regionkey").alias("region"), F.col("c_mktsegment").alias("segment")).agg(rows_().alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
