@@ -26,7 +26,7 @@ MARGIN = 0.16
 #: Pairs of a bucket's members in different components that may be left after a
 #: round, per document, for them to be compared at once (bands and sizes first; few
 #: go on); while more are left, another round compares with one more member of each bucket.
-LEFT_PAIRS = 64.0
+LEFT_PAIRS = 1024.0
 
 
 def register(x: np.ndarray) -> np.ndarray:
