@@ -160,6 +160,45 @@ def test_passages_cover_all_equal_runs_and_nothing_else(spark):
             assert sum(runs) >= 0.85 * len(runs)
 
 
+def chains_corpus():
+    """Passages of 60 words edited step by step, of which the first and the last are not
+    near; and such of two documents behind a line whose first document is another one."""
+    rng = random.Random(5)
+    line = prose(rng, 30)
+    rows = [(0, f"{prose(rng, 80)} {line} {prose(rng, 80)}")]
+    for i in range(1, 121, 3):
+        words = prose(rng, 60).split(" ")
+        for k, at in enumerate((None, 15, 45)):
+            if at is not None:
+                words[at] = f"x{rng.randrange(10**6)}"
+            rows.append((i + k, f"{prose(rng, 40)} {' '.join(words)} {prose(rng, 40)}"))
+    for i in range(200, 280, 2):
+        words = prose(rng, 26).split(" ")
+        rows.append((i, f"{prose(rng, 40)} {line} {' '.join(words)} {prose(rng, 40)}"))
+        words[12] = "edited"
+        rows.append((i + 1, f"{prose(rng, 40)} {line} {' '.join(words)} {prose(rng, 40)}"))
+    return rows
+
+
+def test_near_passages_of_chains_and_behind_a_line(spark):
+    rows = chains_corpus()
+    hashes = WordHashes()
+    s = {i: (shingles(hashes.of([w.encode() for w in t.split(" ")]), 5) >> np.uint64(32)).astype(np.uint32) for i, t in rows}
+    near = defaultdict(set)
+    for a, b in itertools.combinations(sorted(s), 2):
+        for begin, end, _ in substring_dedup.passages(s[b], s[a]):
+            near[b] |= set(range(begin, end - 45))
+    found = defaultdict(set)
+    for r in substring_dedup.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.source_id < r.doc_id
+        found[r.doc_id] |= set(range(r.start_word, r.end_word - 49))
+    assert not any(found[i] - near[i] for i in found)
+    recall = lambda ids: sum(bool(found[i] & near[i]) for i in ids) / len(ids)
+    chained, behind = [i for i in near if i < 200 and i % 3 == 0], [i for i in near if i >= 200]
+    assert len(chained) == 40 and len(behind) >= 40
+    assert min(recall(chained), recall(behind)) >= 0.9, (recall(chained), recall(behind))
+
+
 def test_removal_keeps_one_copy_and_the_rest_of_the_text(spark):
     rows, _ = passages_corpus()
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, __x string")
