@@ -82,3 +82,19 @@ def test_upserts_are_idempotent(spark):
     assert parse_window("30m").seconds == 1800 and parse_window(None).seconds == 3600
     with pytest.raises(ValueError):
         parse_window("soon")
+
+
+def test_near_pairs_of_all_blocks_equal_brute_force(spark):
+    import numpy as np
+
+    from tributary.operators.vectors import all_near_pairs
+
+    v = np.random.default_rng(2).normal(size=(90, 8))
+    v[7] = 0
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    n = np.maximum(np.linalg.norm(v, axis=1), 1e-12)
+    s = (v @ v.T) / np.outer(n, n)
+    expected = {(a, b) for a in range(90) for b in range(a + 1, 90) if s[a, b] > 0.3}
+    for size in (10, 1000):
+        got = [(r.a, r.b) for r in all_near_pairs(rows, 0.3, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected

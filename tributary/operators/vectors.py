@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Vectors of one side that are broadcast at most; more are compared in blocks.
 BROADCAST_VECTORS = 50_000
+#: Vectors of a block, about; a task compares two blocks.
+BLOCK_VECTORS = 2_000
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -47,3 +53,35 @@ def near_pairs(rows: DataFrame, block: str, threshold: float) -> DataFrame:
     x = rows.select(F.col("id").alias("a"), F.col("v").alias("va"), block)
     y = rows.select(F.col("id").alias("b"), F.col("v").alias("vb"), block)
     return x.join(y, block).where("a < b").select("a", "b", block, cosine("va", "vb").alias("similarity")).where(F.col("similarity") > threshold)
+
+
+def _compare(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = pdf["k"] == pdf["k"].min()
+        x = pdf[low]
+        y = pdf[~low] if not low.all() else x
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0] and y is x:
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        vectors = [np.array(p["v"].tolist(), dtype=float) for p in (x, y)]
+        norms = [np.linalg.norm(v, axis=1) for v in vectors]
+        units = [v / np.where(n > 0, n, 1)[:, None] for v, n in zip(vectors, norms)]
+        similarity = units[0] @ units[1].T
+        ids = [p["id"].to_numpy() for p in (x, y)]
+        at, to = np.nonzero(similarity > threshold)
+        if y is x:
+            at, to = (z[ids[0][at] < ids[0][to]] for z in (at, to))
+        a, b = ids[0][at], ids[1][to]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": similarity[at, to]})
+
+    return run
+
+
+def all_near_pairs(rows: DataFrame, threshold: float, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
+    """(a, b, similarity) with a < b over the threshold, of all pairs of the rows (id, v):
+    every two blocks of rows are compared by one task. Exact, so the work is quadratic. (J08, D09)"""
+    rows = rows.where("v IS NOT NULL").select("id", "v")
+    blocks = max(1, -(-rows.count() // block_vectors))
+    k = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    met = k.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select("id", "v", "k", F.least("k", "m").alias("i"), F.greatest("k", "m").alias("j"))
+    return met.groupBy("i", "j").applyInPandas(_compare(threshold), "a long, b long, similarity double")

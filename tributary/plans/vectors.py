@@ -57,6 +57,22 @@ def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("b").alias("archived")).agg(F.max_by("a", F.struct("similarity", (-F.col("a")).alias("k"))).alias("kept"))
 
 
+_ALL_PAIRS = f"""pairs AS (SELECT q.vec_id AS a, e.vec_id AS b, {_COS} AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id < e.vec_id)"""
+
+
+@query(f"WITH {_ALL_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs WHERE similarity > 0.3")
+def pairs_over_threshold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near pairs, whatever their labels."""
+    return vectors.all_near_pairs(_vectors(spark, sf_dir), 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"WITH {_ALL_PAIRS} SELECT b AS archived, arg_max(a, (similarity, -a)) AS kept FROM pairs WHERE similarity > 0.35 GROUP BY b")
+def semantic_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As semantic_dedup, whatever the labels."""
+    pairs = vectors.all_near_pairs(_vectors(spark, sf_dir), 0.35)
+    return pairs.groupBy(F.col("b").alias("archived")).agg(F.max_by("a", F.struct("similarity", (-F.col("a")).alias("k"))).alias("kept"))
+
+
 @query(f"""WITH c AS (SELECT label, list(embedding ORDER BY vec_id)[1] AS embedding FROM embeddings GROUP BY label), m AS (SELECT e.vec_id, q.label, {_COS} AS s FROM embeddings e, c q)
     SELECT vec_id, arg_max(label, (s, -label)) FILTER (s >= 0.2) AS cluster, round(max(s), 6) AS best FROM m GROUP BY vec_id""")
 def nearest_cluster_match(spark: SparkSession, sf_dir: str) -> DataFrame:
