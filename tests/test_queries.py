@@ -98,3 +98,24 @@ def test_near_pairs_of_all_blocks_equal_brute_force(spark):
     for size in (10, 1000):
         got = [(r.a, r.b) for r in all_near_pairs(rows, 0.3, size).collect()]
         assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_greedy_clusters_reach_over_blocks_of_ids(spark):
+    import numpy as np
+
+    from tributary.operators.vectors import greedy_clusters
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(12, 6))[rng.integers(0, 12, 240)] + rng.normal(size=(240, 6)) * 0.5
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = [int(x) for x in rng.choice(20_000, 240, replace=False)]
+    rows = [(i, x.tolist(), i % 2) for i, x in zip(ids, v)]
+    expected, first = {}, {0: [], 1: []}
+    for i, x, label in sorted(rows):
+        near = [f for f, y in first[label] if np.dot(x, y) >= 0.6]
+        if not near:
+            first[label].append((i, x))
+        expected[i] = near[0] if near else i
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    for size in (50, 1000):
+        assert {r.id: r.cluster for r in greedy_clusters(df, 0.6, size).collect()} == expected

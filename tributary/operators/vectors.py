@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import stash
+
 #: Vectors of one side that are broadcast at most; more are compared in blocks.
 BROADCAST_VECTORS = 50_000
 #: Vectors of a block, about; a task compares two blocks.
@@ -76,12 +78,39 @@ def _compare(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def all_near_pairs(rows: DataFrame, threshold: float, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
-    """(a, b, similarity) with a < b over the threshold, of all pairs of the rows (id, v):
-    every two blocks of rows are compared by one task. Exact, so the work is quadratic. (J08, D09)"""
-    rows = rows.where("v IS NOT NULL").select("id", "v")
-    blocks = max(1, -(-rows.count() // block_vectors))
+def all_near_pairs(rows: DataFrame, threshold: float, block_vectors: int = BLOCK_VECTORS, by: list[str] = []) -> DataFrame:
+    """(a, b, similarity) with a < b over the threshold, of all pairs of the rows (id, v),
+    or all with equal `by`: every two blocks of rows are compared by one task. Exact, so
+    the work is quadratic. (J08, D09)"""
+    rows = rows.where("v IS NOT NULL").select("id", "v", *by)
+    most = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+    blocks = -(-most // block_vectors)
     k = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     met = k.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = met.select("id", "v", "k", F.least("k", "m").alias("i"), F.greatest("k", "m").alias("j"))
-    return met.groupBy("i", "j").applyInPandas(_compare(threshold), "a long, b long, similarity double")
+    met = met.select("id", "v", "k", F.least("k", "m").alias("i"), F.greatest("k", "m").alias("j"), *by)
+    return met.groupBy("i", "j", *by).applyInPandas(_compare(threshold), "a long, b long, similarity double")
+
+
+def greedy_clusters(rows: DataFrame, threshold: float, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
+    """(id, cluster): within a label, in order of id, a row (id, v, label) joins the first
+    earlier cluster whose first member is at least so near, or begins one. (D13, D14)
+
+    Settled in rounds: what has a first member among its smaller neighbours is a member;
+    what has none but members is a first one. The smallest undecided is always settled."""
+    near = stash(all_near_pairs(rows, float(np.nextafter(threshold, -1)), block_vectors, ["label"]).select("a", "b"), "near")
+    firsts, rest = [], stash(rows.select("id"), "rest")
+    links = near
+    while True:
+        first = stash(rest.join(links.selectExpr("b AS id"), "id", "left_anti"), "first")
+        firsts.append(first)
+        member = stash(near.join(first.selectExpr("id AS a"), "a", "left_semi").selectExpr("b AS id").distinct().join(rest, "id", "left_semi"), "member")
+        rest = stash(rest.join(first.unionByName(member), "id", "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+        links = stash(links.join(member.selectExpr("id AS a"), "a", "left_anti").join(rest.selectExpr("id AS b"), "b", "left_semi").select("a", "b"), "links")
+    first = firsts[0]
+    for more in firsts[1:]:
+        first = first.unionByName(more)
+    first = stash(first, "firsts")
+    least = near.join(first.selectExpr("id AS a"), "a").join(first.selectExpr("id AS b"), "b", "left_anti").groupBy("b").agg(F.min("a").alias("cluster"))
+    return first.selectExpr("id", "id AS cluster").unionByName(least.selectExpr("b AS id", "cluster"))

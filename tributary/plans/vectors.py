@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,26 +87,7 @@ def nearest_cluster_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Within a label, in order of id, a vector joins the first earlier
     cluster whose first member is near enough, or begins one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values("id")
-        v = np.array(pdf["v"].tolist(), dtype=float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        first: list[int] = []
-        out = []
-        for i in range(len(v)):
-            near = np.flatnonzero(v[first] @ v[i] >= 0.3) if first else []
-            if not len(near):
-                first.append(i)
-                near = [len(first) - 1]
-            out.append(int(pdf["id"].iloc[first[near[0]]]))
-        return pd.DataFrame({"id": pdf["id"], "cluster": out})
-
-    # A label's vectors are cut into blocks by id, so that no group grows with the table.
-    rows = _vectors(spark, sf_dir).withColumn("block", F.floor(F.col("id") / 4096))
-    return rows.groupBy("label", "block").applyInPandas(run, "id long, cluster long")
+    return vectors.greedy_clusters(_vectors(spark, sf_dir), 0.3)
 
 
 @query("""WITH v AS (SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ',') || ']' AS t FROM embeddings) SELECT vec_id, t AS codec, len(t)::INT AS n FROM v""")
