@@ -119,3 +119,18 @@ def test_greedy_clusters_reach_over_blocks_of_ids(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>, label int")
     for size in (50, 1000):
         assert {r.id: r.cluster for r in greedy_clusters(df, 0.6, size).collect()} == expected
+
+
+@pytest.mark.parametrize("name", ["stream_windowed_counts", "stream_idle_counts"])
+def test_streams_of_many_files_in_no_order_equal_their_sql(spark, tiny, tmp_path, name):
+    import os
+
+    from pyspark.sql import functions as F
+
+    for table in os.listdir(tiny):
+        if table != "events.parquet":
+            os.symlink(f"{tiny}/{table}", tmp_path / table)
+    events = spark.read.parquet(f"{tiny}/events.parquet")
+    events.repartition(250, F.xxhash64("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) > 200
+    assert_same(QUERIES[name](spark, str(tmp_path)), ORACLES[name], str(tmp_path))

@@ -13,6 +13,9 @@ from pyspark.sql.types import StructType
 
 from ..sources.shared import shared_dir
 
+#: As files_per_batch: all files there are in one batch.
+ALL_FILES = 2**31 - 1
+
 
 def read_new(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
     """Parquet files as they arrive. (S06, S08, ST01)"""
