@@ -134,3 +134,22 @@ def test_streams_of_many_files_in_no_order_equal_their_sql(spark, tiny, tmp_path
     events.repartition(250, F.xxhash64("event_id")).write.parquet(str(tmp_path / "events.parquet"))
     assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) > 200
     assert_same(QUERIES[name](spark, str(tmp_path)), ORACLES[name], str(tmp_path))
+
+
+def test_long_conversations_are_not_cut_by_row_number(spark):
+    from datetime import datetime, timedelta
+
+    from tributary.operators.conversation import near_duplicates, threads
+
+    start, rows, at = datetime(2024, 1, 1), [], 0
+    for turn in range(10_300):
+        # A gap of hours after turn 5000; else a minute between two, as turns 9,999 and 10,000.
+        at += 600 if turn == 5000 else 1
+        text = "same words again here" if turn in (4999, 5000, 9_999, 10_000) else f"u{turn} v{turn} w{turn}"
+        rows.append((1, turn, start + timedelta(minutes=at), text))
+    df = spark.createDataFrame(rows, "group_id long, turn long, posted_at timestamp_ntz, content string")
+    links = {r.turn: r.duplicate_of for r in near_duplicates(df).collect()}
+    heads = {r.turn: r.thread for r in threads(df).collect()}
+    assert len(links) == len(heads) == 10_300
+    assert {t: d for t, d in links.items() if d is not None} == {10_000: 9_999}
+    assert {t: h for t, h in heads.items() if h != t} == {10_000: 9_999}
