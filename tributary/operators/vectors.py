@@ -93,7 +93,7 @@ def all_near_pairs(rows: DataFrame, threshold: float, block_vectors: int = BLOCK
 
 def greedy_clusters(rows: DataFrame, threshold: float, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
     """(id, cluster): within a label, in order of id, a row (id, v, label) joins the first
-    earlier cluster whose first member is at least so near, or begins one. (D13, D14)
+    earlier cluster whose first member is at least so near, or begins one. (toward D13, D14)
 
     Settled in rounds: what has a first member among its smaller neighbours is a member;
     what has none but members is a first one. The smallest undecided is always settled."""

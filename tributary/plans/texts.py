@@ -163,7 +163,7 @@ def media_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, bit_count(xor(h, lag(h, 1, 0) OVER (ORDER BY vec_id)))::INT AS distance FROM (SELECT vec_id, vec_id * 2654435761 AS h FROM embeddings)")
 def phash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bits between a hash and its predecessor's, by a join on the neighbour's id."""
+    """Bits between a hash and its predecessor's, by a join on the neighbour's id."""
     h = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") * 2654435761).alias("h"))
     before = h.select((F.col("vec_id") + 1).alias("vec_id"), F.col("h").alias("b"))
     return h.join(before, "vec_id", "left").select("vec_id", values.hamming(F.col("h"), F.coalesce("b", F.lit(0).cast("long"))).alias("distance"))

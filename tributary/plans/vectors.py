@@ -85,7 +85,7 @@ def nearest_cluster_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within a label, in order of id, a vector joins the first earlier
+    """Toward D13 and D14: within a label, in order of id, a vector joins the first earlier
     cluster whose first member is near enough, or begins one."""
     return vectors.greedy_clusters(_vectors(spark, sf_dir), 0.3)
 
