@@ -70,6 +70,38 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def near_group(seed=4, n=260):
+    """One text with edits from few words, at all distances, in whole and cut short; behind them unlike texts."""
+    rng = random.Random(seed)
+    base = prose(rng, 120).split(" ")
+    rows = []
+    for i in range(n):
+        words = base[: rng.choice([120, 120, 120, 112, 105, 70, 60])]
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(4)}"
+        rows.append((i, " ".join(words)))
+    return rows + [(1000 + i, prose(rng, 80)) for i in range(20)]
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_large_group_of_near_copies_equals_brute_force(spark, monkeypatch, width, percent):
+    rows, opened, plain = near_group(), [], near_dedup._open
+    monkeypatch.setattr(near_dedup, "_open", lambda *x: opened.append(1) or plain(*x))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = near_dedup.near_duplicates(docs, width, percent).collect()
+    expected = reachable(rows, width, percent)
+    assert {r.doc_id: r.component_id for r in got} == expected
+    assert opened and len(set(expected.values())) > 30
+
+
+def test_near_duplicates_of_repeated_ids_long_texts_and_string_ids(spark):
+    long = prose(random.Random(1), 30_000)
+    rows = [("b", "x y z " * 5), ("a", long), ("a", "other text of the same id"), ("c", long + " end"), ("d", "OTHER text of the same id"), ("e", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 AS key", "2 AS n", "3 AS lead")
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {("a", "a"), ("b", "b"), ("c", "a"), ("d", "a"), ("e", "e")}
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     schema = "doc_id long, text string, n_shingles string, component string"
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -60,15 +60,17 @@ def drop_stash(df: DataFrame) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What runs inside hands so many rows at once to Python; for wide rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def batches_of(spark: SparkSession, rows: int, size: int = 16_000_000) -> Iterator[None]:
+    """What runs inside hands at most so many rows and about so many bytes at once to Python; for wide rows."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def bounded_broadcast(df: DataFrame) -> DataFrame:

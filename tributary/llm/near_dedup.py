@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, components, lower_words, mix, shingles, stash, table, texts
+from .common import WordHashes, batches_of, bounded_broadcast, chunks, components, drop_stash, lower_words, mix, shingles, stash, table, texts
 
 #: Registers of a sketch and the bands they are cut into: at a similarity of 0.85
 #: a pair shares no band once in 10^7 times, at 0.8 once in 10^5.
@@ -23,10 +23,9 @@ MANTISSA = 10
 #: A pair is verified if its estimate is at most this far below the threshold: four
 #: standard deviations of an estimate from 96 registers.
 MARGIN = 0.16
-#: Pairs of a bucket's members in different components that may be left after a
-#: round, per document, for them to be compared at once (bands and sizes first; few
-#: go on); while more are left, another round compares with one more member of each bucket.
-LEFT_PAIRS = 1024.0
+#: Groups of at most so many documents are compared pair by pair; larger ones with one
+#: lead each, and what its comparison leaves open is dealt into smaller groups.
+SMALL = 16
 
 
 def register(x: np.ndarray) -> np.ndarray:
@@ -93,9 +92,6 @@ def _sets(batch: pa.RecordBatch, width: int, hashes: WordHashes) -> Iterator[np.
         yield np.unique(shingles(hashes.of(lower_words(text)), width))
 
 
-SKETCH = "doc_id long, n_shingles long, same long, registers binary"
-
-
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -149,12 +145,16 @@ def _full(width: int):
     return run
 
 
+def _both(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for a, b in zip(batch.column("sa"), batch.column("sb")):
+        yield np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for i, (a, b) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            for i, (x, y) in enumerate(_both(batch)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(i)
@@ -164,24 +164,130 @@ def _confirmed(percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, confirmed on the sets of the whole texts."""
-    one = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    likely = stash(pairs.join(one("a"), "a").join(one("b"), "b").mapInArrow(_likely(percent / 100), "a long, b long"), "likely")
-    asked = likely.selectExpr("a AS doc_id").unionByName(likely.selectExpr("b AS doc_id")).distinct()
-    found = stash(docs.join(asked, "doc_id").mapInArrow(_full(width), "doc_id long, found binary"), "sets")
-    sets = lambda c: found.select(F.col("doc_id").alias(c), F.col("found").alias(f"s{c}"))
-    return likely.join(sets("a"), "a").join(sets("b"), "b").mapInArrow(_confirmed(percent), "a long, b long")
-
-
-def _between(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members in different components whose sizes allow a link,
-    each from the first band that they share."""
-    side = lambda c: rows.select("key", F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("bands").alias(f"b{c}"))
-    x, y = side("a"), side("b")
-    first = F.expr("element_at(ba, int(array_position(zip_with(ba, bb, (p, q) -> p = q), true)))")
-    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return x.join(y, (x["key"] == y["key"]) & F.expr("a < b AND ca <> cb") & sizes & (first == x["key"])).select("a", "b")
+def _relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document (set sa) how many shingles its lead (set sb) has, and the others."""
+    for batch in batches:
+        n, n_lead, held, rest = [], [], [], []
+        for x, y in _both(batch):
+            n.append(len(x))
+            n_lead.append(len(y))
+            other = np.setdiff1d(x, y, assume_unique=True)
+            held.append(len(x) - len(other))
+            rest.append(other.view(np.int64))
+        counts = [pa.array(x, pa.int64()) for x in (n, n_lead, held)]
+        columns = [batch.column("key"), batch.column("doc_id"), batch.column("lead"), *counts, pa.array(rest, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "lead", "n", "n_lead", "held", "rest"])
+
+
+class _Links:
+    """The links found so far and the components that they make."""
+
+    def __init__(self, firsts: DataFrame, sets: DataFrame, copies: DataFrame, percent: int):
+        self.firsts, self.sets, self.percent = firsts, sets, percent
+        self.kind = firsts.schema["doc_id"].dataType.simpleString()
+        self.group = stash(components(copies), "groups")
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows (doc_id, ...) with c, the component of doc_id."""
+        return rows.join(self.group.selectExpr("id AS doc_id", "component AS c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are links: sizes and sketches allow it, the full sets confirm it."""
+        one = lambda c: self.firsts.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
+        ids = f"a {self.kind}, b {self.kind}"
+        likely = stash(pairs.join(one("a"), "a").join(one("b"), "b").mapInArrow(_likely(self.percent / 100), ids), "likely")
+        sets = lambda c: self.sets.select(F.col("doc_id").alias(c), F.col("found").alias(f"s{c}"))
+        with batches_of(pairs.sparkSession, 200):
+            found = stash(likely.join(sets("b"), "b").join(sets("a"), "a").mapInArrow(_confirmed(self.percent), ids), "links")
+        drop_stash(likely)
+        return found
+
+    def add(self, links: DataFrame) -> None:
+        """Join the components of the links (a, b)."""
+        if links.isEmpty():
+            return
+        ends = self.labelled(links.select(F.col("a").alias("doc_id"), "b")).select(F.col("c").alias("a"), F.col("b").alias("doc_id"))
+        ends = self.labelled(ends).select("a", F.col("c").alias("b"))
+        joined = stash(components(ends), "joined")
+        moved = self.group.join(joined.selectExpr("id AS component", "component AS now"), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+        before, self.group = self.group, stash(moved.unionByName(joined.join(self.group.select("id"), "id", "left_anti")), "groups")
+        drop_stash(joined)
+        drop_stash(before)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components in groups of at most SMALL rows (key, doc_id, c)."""
+    side = lambda d: rows.select("key", F.col("doc_id").alias(d), F.col("c").alias(f"c{d}"))
+    return side("a").join(side("b"), "key").where("a < b AND ca <> cb").select("a", "b")
+
+
+def _divided(found: _Links, rows: DataFrame) -> DataFrame:
+    """rows (key, doc_id, n) of the keys with several components, with the component c,
+    the size of the group and a lead: the given one, or a member of the component with
+    most rows."""
+    rows = found.labelled(rows)
+    parts = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min("lead" if "lead" in rows.columns else "doc_id").alias("lead"))
+    keys = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("size"), F.max(F.struct("m", "lead"))["lead"].alias("lead")).where("parts > 1").drop("parts")
+    return stash(rows.drop("lead").join(keys, "key"), "divided")
+
+
+def _by_lead(found: _Links, rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, doc_id, n) of buckets with several components as groups (key, doc_id,
+    n, lead) of like sizes under one lead, the smallest document of the component with
+    most rows: buckets of the same cluster become one group. Partners are in one or in
+    neighbouring ranges of sizes, so each document goes into two."""
+    rows = found.labelled(rows)
+    parts = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "c"))["c"].alias("lead")).where("parts > 1").select("key", "lead")
+    spread = F.floor(F.log("n") / (np.log(100 / percent) + 1e-6))
+    wide = rows.join(main, "key").select("lead", "doc_id", "n").distinct().withColumn("range", F.explode(F.array(spread, spread + 1)))
+    return wide.select(F.xxhash64("lead", "range").alias("key"), "doc_id", "n", "lead")
+
+
+def _related(found: _Links, rows: DataFrame) -> DataFrame:
+    """The rows of large groups, each compared with its lead; see _relation."""
+    sets = lambda c, s: found.sets.select(F.col("doc_id").alias(c), F.col("found").alias(s))
+    both = rows.where("doc_id <> lead").select("key", "doc_id", "lead").join(sets("doc_id", "sa"), "doc_id").join(sets("lead", "sb"), "lead")
+    with batches_of(rows.sparkSession, 200):
+        return stash(both.mapInArrow(_relation, f"key long, doc_id {found.kind}, lead {found.kind}, n long, n_lead long, held long, rest array<bigint>"), "related")
+
+
+def _open(found: _Links, related: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What may still link documents of a group that its lead did not bring together:
+    smaller groups (key, doc_id, n) and pairs (a, b).
+
+    Two sets D and X share at most min(held) shingles of the lead's, and of the others
+    those that both have. A link needs `percent` / (100 + percent) of both sizes; so D
+    must share at least `lacks` shingles that the lead has not (with the smallest
+    partner that its size allows). Where that is one or more, one of D's rarest such
+    shingles, all but lacks - 1, must be among the rarest of X too (prefix filter):
+    these shingles make the smaller groups. Shingles that a single component has come
+    first, as no partner has them. Where it is none, D and X may do without a common
+    one, if the shingles of the lead that each holds are enough for both sizes: these
+    pairs are given as such.
+    """
+    whole = 100 + percent
+    least = related.groupBy("key").agg(F.min("n").alias("least"))
+    partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    rows = found.labelled(related).join(least, "key").withColumn("lacks", F.ceil((F.col("n") + partner) * percent / whole) - F.col("held"))
+    rows = stash(rows.drop("least", "lead", "n_lead"), "lacking")
+    each = rows.select("key", "doc_id", "c", F.explode("rest").alias("x"))
+    common = each.groupBy("key", "x").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "x", "df")
+    mine = each.join(common, ["key", "x"]).groupBy("key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("common"))
+    chosen = F.size("rest") - F.greatest("lacks", F.lit(1)) + 1 - (F.size("rest") - F.size("common"))
+    groups = rows.join(mine, ["key", "doc_id"]).where(chosen > 0).select("key", "doc_id", "n", F.explode(F.slice("common", F.lit(1), chosen.cast("int"))).alias("x"))
+    groups = groups.select(F.xxhash64("key", "x.x").alias("key"), "doc_id", "n")
+    # Pairs that need no shingle beyond the lead's. reach: the largest partner of a document.
+    bare = rows.where("lacks <= 0").select("key", "doc_id", "n", "c", F.floor(F.col("held") * whole / percent - F.col("n")).alias("reach"))
+    main = bare.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "c"))["c"].alias("main")).where("parts > 1").drop("parts")
+    bare = bare.join(main, "key")
+    outside = bare.where("c <> main")
+    bounds = outside.groupBy("key").agg(F.max("reach").alias("most"))
+    inside = bare.where("c = main").join(bounds, "key").where("n <= most").drop("most")
+    bare = stash(outside.unionByName(inside), "bare")
+    side = lambda d: bare.select("key", *[F.col(c).alias(f"{d}_{c}") for c in ("doc_id", "n", "c", "reach")])
+    pairs = side("a").join(side("b"), "key").where("a_doc_id < b_doc_id AND a_c <> b_c AND a_n <= b_reach AND b_n <= a_reach")
+    return groups, pairs.selectExpr("a_doc_id AS a", "b_doc_id AS b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -191,54 +297,62 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     A-Z in lower case; the whole where there are fewer words. Documents are linked
     if 100 * intersection >= percent * union; component_id is the smallest doc_id
     reachable. Null and empty texts, and texts without words, have no shingle and
-    no link. Rows with a null doc_id have a null component_id and are kept; rows
-    that repeat a doc_id share its component and are judged as one document. An
-    empty table gives no rows.
-
-    Documents with equal sets form a class, whose smallest doc_id goes on. Members
-    of a band's bucket are compared with its smallest document, never all with all.
-    After each round only buckets that hold more than one component are left; their
-    members are compared with the next document, until the pairs between different
-    components that are left are few enough to be verified at once. So every pair
-    that shares a band is linked by a path or has been verified.
+    no link. Rows with a null doc_id have a null component_id and are kept. Rows
+    that repeat a doc_id share its component: a link of any of their texts is one of
+    all. An empty table gives no rows. Columns beside the two are not looked at.
+
+    Documents with equal sets form a class, whose smallest doc_id goes on. A bucket
+    holds the documents that share a band. Buckets of at most SMALL documents are
+    compared pair by pair, larger ones with their smallest document. What then is in
+    several components of a large bucket goes on in groups of like sizes: all are
+    compared with a lead, and those that may be linked all the same share one of
+    their rarest shingles that the lead has not (`_open`), which makes smaller
+    groups, until none is left. So every pair that shares a band is linked by a path,
+    verified, or proven to be no link, and no step makes more rows than its group has
+    rows and rare shingles.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
-    sketches = stash(docs.mapInArrow(_sketches(width), SKETCH), "sketches")
+    sketches = stash(docs.mapInArrow(_sketches(width), f"doc_id {kind}, n_shingles long, same long, registers binary"), "sketches")
     known = sketches.where("doc_id IS NOT NULL AND same IS NOT NULL")
     classes = known.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("first"))
-    copies = known.join(classes, ["same", "n_shingles"]).where("doc_id <> first").selectExpr("first AS a", "doc_id AS b")
-    links = stash(copies, "copies")
-    firsts = stash(known.dropDuplicates(["doc_id"]).join(classes.selectExpr("first AS doc_id"), "doc_id", "left_semi"), "firsts")
-    n_docs = firsts.count()
-    bands = stash(firsts.mapInArrow(_bands, "doc_id long, n_shingles long, bands array<long>"), "bands")
-    rows = bands.select("doc_id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
-    rows = stash(rows.join(shared.select("key", "lead"), "key"), "shared")
-    texts_ = docs.where("doc_id IS NOT NULL")
+    copies = stash(known.join(classes, ["same", "n_shingles"]).where("doc_id <> first").selectExpr("first AS a", "doc_id AS b"), "copies")
+    firsts = stash(known.dropDuplicates(["doc_id", "same"]).join(classes.withColumnRenamed("first", "doc_id"), ["same", "n_shingles", "doc_id"], "left_semi"), "firsts")
+    bands = firsts.mapInArrow(_bands, f"doc_id {kind}, n_shingles long, bands array<bigint>")
+    rows = stash(bands.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct(), "bands")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last")
+    buckets = stash(rows.join(shared, "key"), "buckets")
+    drop_stash(rows)
+    asked = bounded_broadcast(buckets.select("doc_id").distinct())
+    sets = stash(docs.join(asked, "doc_id", "left_semi").mapInArrow(_full(width), f"doc_id {kind}, found binary"), "sets")
+    drop_stash(asked)
+    found = _Links(firsts, sets, copies, percent)
+    others = buckets.where("doc_id > lead")
+    few = others.where(f"size > 2 AND size <= {SMALL}").withColumn("c", F.col("doc_id"))
+    pairs = others.selectExpr("lead AS a", "doc_id AS b").unionByName(_small(few)).distinct()
+    found.add(found.verified(pairs))
+    rows, pairs = _by_lead(found, others.where(f"size > {SMALL}").select("key", "doc_id", "n"), percent), pairs.limit(0)
     while True:
-        pairs = rows.where("doc_id > lead").selectExpr("lead AS a", "doc_id AS b").distinct()
-        links = stash(links.unionByName(_verify(pairs, firsts, texts_, width, percent)), "links")
-        group = stash(components(links), "groups")
-        # Of each bucket what follows its lead; pairs within a component need no check.
-        rows = rows.where("doc_id > lead").select("key", "doc_id").join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        split = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("doc_id").alias("lead")).where("least <> most")
-        rows = stash(rows.join(split.select("key", "lead"), "key"), "split")
-        by_part = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        left = by_part.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs")).agg(F.sum("pairs") / 2).first()[0]
-        if not left:
-            break
-        if left <= LEFT_PAIRS * n_docs:
-            pairs = _between(rows.join(bands, "doc_id"), percent)
-            links = stash(links.unionByName(_verify(pairs, firsts, texts_, width, percent)), "links")
-            group = stash(components(links), "groups")
+        rows = _divided(found, rows)
+        pairs = stash(pairs.unionByName(_small(rows.where(f"size <= {SMALL}"))).distinct(), "pairs")
+        large = rows.where(f"size > {SMALL}")
+        related = None if large.isEmpty() else _related(found, large)
+        if not pairs.isEmpty():
+            found.add(found.verified(pairs))
+        if related is None:
             break
+        found.add(related.where(f"{100 + percent} * held >= {percent} * (n + n_lead)").selectExpr("lead AS a", "doc_id AS b"))
+        rows, pairs = _open(found, related, percent)
+    for done in (buckets, sets, firsts, copies):
+        drop_stash(done)
     return (
         sketches.select("doc_id", "n_shingles")
-        .join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        .join(found.group.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents: shingles of three words, 85 percent."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
