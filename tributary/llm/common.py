@@ -135,7 +135,7 @@ def lower_words(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word; starts afresh when it holds `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
