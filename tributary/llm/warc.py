@@ -64,22 +64,29 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     of its own; null unless resolved; digest is then the response's.
 
     Revisits with a null or malformed url or a null ts are missing; responses with
-    one are passed over. Repeated revisits come out repeated, repeated responses
-    count once. Empty tables give no rows. Columns beside RECORDS are ignored. A url
+    one are passed over. Header names that differ by case alone are one: the first
+    value counts. Repeated revisits come out repeated, repeated responses count once:
+    of those with one record_id the latest, by ts. Empty tables give no rows. Columns beside RECORDS are ignored. A url
     that holds a third of all records is split by hour, and the joins that bring
     rows back can be split by Spark.
     """
     rows = records.select("record_id", "kind", "ts", "status", "etag", "last_modified", "digest", "headers", canonical_url(F.col("url")).alias("key"))
-    lower = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: ascii_lower(k))
-    rows = rows.withColumn("headers", lower)
+    entries = F.coalesce(F.map_entries("headers"), F.array().cast("array<struct<key:string,value:string>>"))
+    names = F.array_distinct(F.transform(entries, lambda e: ascii_lower(e["key"])))
+    first_of = lambda n: F.element_at(F.filter(entries, lambda e: ascii_lower(e["key"]) == n), 1)["value"]
+    rows = rows.withColumn("headers", F.map_from_arrays(names, F.transform(names, first_of)))
     full = rows.where("kind = 'response' AND status = 200 AND key IS NOT NULL AND ts IS NOT NULL")
     revisits = rows.where("kind = 'revisit'")
     moments = full.groupBy("key", "ts").agg(F.max("record_id").alias("record_id"))
     asked = revisits.where("key IS NOT NULL AND ts IS NOT NULL").select("key", "ts").distinct()
     found = _latest(asked, moments)
-    first = lambda c: F.first(c).alias(f"r_{c}")
-    given = full.groupBy(F.col("record_id").alias("refers_to")).agg(first("etag"), first("last_modified"), first("digest"), first("headers"))
-    both = revisits.join(found, ["key", "ts"], "left").join(given, "refers_to", "left")
+    fields = ["etag", "last_modified", "digest", "headers"]
+    given = full.groupBy(F.col("record_id").alias("refers_to")).agg(F.max_by(F.struct(*fields), F.struct("ts", "key", "digest", "etag", "last_modified")).alias("r"))
+    given = given.select("refers_to", *[F.col(f"r.{c}").alias(f"r_{c}") for c in fields])
+    # Rows that cannot meet anything stay out of the joins, where they would share one key.
+    placed = revisits.where("key IS NOT NULL AND ts IS NOT NULL").join(found, ["key", "ts"])
+    alone = revisits.where("key IS NULL OR ts IS NULL").unionByName(placed.where("refers_to IS NULL"), allowMissingColumns=True)
+    both = placed.where("refers_to IS NOT NULL").join(given, "refers_to").unionByName(alone, allowMissingColumns=True)
     weak = lambda c: F.regexp_replace(c, "^W/", "")
     equal = F.coalesce(F.col("digest") == F.col("r_digest"), weak("etag") == weak("r_etag"), F.col("last_modified") == F.col("r_last_modified"))
     verdict = F.when(F.col("refers_to").isNull(), "missing").when(equal.isNull(), "unverified").when(equal, "resolved").otherwise("mismatch")
