@@ -7,14 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, url_host, url_path
+from .common import table, unused, url_host, url_path
 
 #: Bytes of the digest that the join compares first.
 PREFIX_BYTES = 4
-#: Rules up to this number are broadcast (under 100 bytes each, so 20 MB); more are joined by shuffle.
-BROADCAST_RULES = 200_000
-#: Rule paths longer than this cannot be given (urls in practice end sooner).
-MOST_PATH = 2048
+#: Characters of rules, 200 more for each, that are broadcast; larger sets are joined by shuffle.
+BROADCAST_CHARS = 40_000_000
 #: Fixed rules of the query: (host, path, verdict).
 RULES = [
     ("com", "/", "allow"),
@@ -48,9 +46,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .agg(F.max("rule_verdict").alias("rule_verdict"), F.first("rule_host").alias("rule_host"), F.first("rule_path").alias("rule_path"))
         .withColumn("short", F.substring("digest", 1, 2 * PREFIX_BYTES))
     )
-    sizes = sorted(r[0] for r in given.where(f"length(rule_path) <= {MOST_PATH}").select(F.length("rule_path")).distinct().collect())
-    if given.count() <= BROADCAST_RULES:
+    sizes = sorted(r[0] for r in given.select(F.length("rule_path")).distinct().collect())
+    if (given.agg(F.sum(200 + F.length("rule_host") + F.length("rule_path"))).first()[0] or 0) <= BROADCAST_CHARS:
         given = F.broadcast(given)
+    u, best_rule = unused(pages, "asked_url"), unused(pages, "best_rule")
     urls = pages.select(F.col(url).alias("__url")).distinct().withColumns({"__host": url_host(F.col("__url")), "__path": url_path(F.col("__url"))})
     labels = F.split("__host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -74,19 +73,20 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
                     "rule_verdict",
                     F.concat("rule_host", "rule_path").alias("rule"),
                 )
-            ).alias("__best")
+            ).alias(best_rule)
         )
+        .withColumnRenamed("__url", u)
     )
     rows = pages.drop("host", "path", "rule", "verdict")
     return (
-        rows.join(best, rows[url] == best["__url"], "left")
+        rows.join(best, rows[url] == best[u], "left")
         .withColumns({
             "host": url_host(F.col(url)),
             "path": url_path(F.col(url)),
-            "rule": F.col("__best.rule"),
-            "verdict": F.coalesce("__best.rule_verdict", F.lit(default)),
+            "rule": F.col(best_rule)["rule"],
+            "verdict": F.coalesce(F.col(best_rule)["rule_verdict"], F.lit(default)),
         })
-        .drop("__url", "__best")
+        .drop(u, best_rule)
     )
 
 
