@@ -135,16 +135,18 @@ class ByteNet:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> ByteNet | None:
     """A network for the languages of docs (doc_id, text, lang) outside the
     held-out fold; None where no row has both a text and a language."""
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    # The ids alone are ordered; the texts stay where they are.
+    chosen = known.select("doc_id").distinct().withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(sample)
     rows = (
-        docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-        .select("lang", "text", F.xxhash64("doc_id").alias("order"))
-        .orderBy("order", "lang")
-        .limit(sample)
+        known.select("doc_id", "lang", "text")
+        .join(F.broadcast(chosen), "doc_id")
         .mapInArrow(_sampled, "order long, lang string, bytes binary")
         .collect()
     )
     if not rows:
         return None
+    rows.sort(key=lambda r: (r.order, r.lang, bytes(r.bytes)))
     classes = sorted({r.lang for r in rows})
     x = np.frombuffer(b"".join(bytes(r.bytes) for r in rows), np.uint8).reshape(len(rows), TRAIN_BYTES)
     y = np.array([classes.index(r.lang) for r in rows])
