@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import chunks, mix, table, texts
+from .common import chunks, mix, table, texts, unused
 
 #: Words in a window; an item of fewer words is one window.
 WIDTH = 13
@@ -47,16 +47,19 @@ class Windows:
         self.ids: dict[bytes, int] = {}
         self.items: list[str | None] = []
         owners: dict[tuple[int, ...], list[int]] = {}
+        known: dict[str | None, int] = {}
         for item_id, text in items:
             ids = [self.ids.setdefault(w, len(self.ids) + 1) for w in words((text or "").encode())]
             if not ids:
                 continue
-            k = len(self.items)
-            self.items.append(None if item_id is None else str(item_id))
+            name = None if item_id is None else str(item_id)
+            k = known.setdefault(name, len(self.items))
+            if k == len(self.items):
+                self.items.append(name)
             size = min(width, len(ids))
             for i in range(len(ids) - size + 1):
                 held = owners.setdefault(tuple(ids[i : i + size]), [])
-                if not held or held[-1] != k:
+                if k not in held:
                     held.append(k)
         self.owners = owners
         self.hashes: dict[int, np.ndarray] = {}
@@ -117,17 +120,15 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: list, row: Callable, new:
 
 
 def _judge(windows: list, text: bytes) -> tuple:
-    names: set[str] = set()
+    names: set[str | None] = set()
     hit = None
-    n_items = 0
     for w in windows:
         found, mask, items = w.value.scan(text)
         hit = mask if hit is None else hit | mask
-        n_items += len(items)
-        names.update(w.value.items[i] for i in items if w.value.items[i] is not None)
+        names.update(w.value.items[i] for i in items)
     n, hits = len(found), int(hit.sum())
-    digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-    return n, hits, n_items, digest, hits > 0 and SHARE * hits >= n
+    digest = hashlib.sha256(",".join(sorted(x for x in names if x is not None)).encode()).hexdigest()
+    return n, hits, len(names), digest, hits > 0 and SHARE * hits >= n
 
 
 def _clean(windows: list, text: bytes) -> tuple:
@@ -166,8 +167,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
     A window is 13 consecutive words of an item, or all of a shorter one that
     has any; a document's word in any occurrence of a window is hit. A null or
     empty text has no words and no hit. Items without words have no window;
-    items with a null item_id hit and count in n_items but are not named in the
-    digest; repeated items count once a row. An empty benchmark hits nothing.
+    items with a null item_id hit and count as one in n_items but are not named in the
+    digest; rows that repeat an item_id are one item. An empty benchmark hits nothing.
     Each document is judged on its own, so repeated rows come out repeated.
     """
     return _apply(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), _judge, RESULT, block_chars).drop("text")
@@ -175,9 +176,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
 
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without the contaminated documents, and without the hit words of the rest."""
-    columns = docs.columns
-    judged = _apply(docs, benchmark.select("item_id", "text"), _clean, "__clean string, __contaminated boolean", block_chars)
-    return judged.where("NOT __contaminated").withColumn("text", F.when(F.col("text").isNotNull(), F.col("__clean"))).select(columns)
+    columns, clean, gone = docs.columns, unused(docs, "clean"), unused(docs, "contaminated")
+    judged = _apply(docs, benchmark.select("item_id", "text"), _clean, f"{clean} string, {gone} boolean", block_chars)
+    return judged.where(~F.col(gone)).withColumn("text", F.when(F.col("text").isNotNull(), F.col(clean))).select(columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
