@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,44 +50,40 @@ SELDOM = frozenset(
     "reply replies respond responses discussion tags taglist search searchform form contentinfo complementary hidden skip".split()
 )
 WITHOUT = frozenset("no with has without".split())
-ARTICLE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox banner banners sponsor sponsored promo promotion promoted "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar "
-    "header masthead footer foot sidebar sidebars aside rail widget widgets "
-    "cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments comentarios kommentare commentaires disqus reply replies respond responses discussion "
-    "share sharing social related recommended recommendations trending popular more-stories tags taglist "
-    "search searchform form contentinfo complementary hidden print-only skip skip-link".split()
-)
 ARTICLE = frozenset("article content post entry story text body main page blog hentry".split())
-#: Votes of a host's pages that a path must have, as a share, to win on it.
-SHARE = 0.1
-#: Winning paths of a host, the ones with most votes first, and characters of a path.
-MOST_PATHS, MOST_PATH = 16, 400
-#: Rows of (host, paths) that are broadcast; more hosts are joined by shuffle.
-BROADCAST_HOSTS = 50_000
+#: Tags that a class, id or role may drop; others only by a token that is such a word itself.
+DROPPABLE = CONTAINER | frozenset("ul ol dl table details fieldset figure".split())
+#: Share of the votes of a host's pages that a path must have to win on it; so at most
+#: twenty paths win.
+SHARE = 0.05
+#: Characters of a path that is kept as it is; of a longer one, its digest.
+PLAIN_PATH = 200
+#: Rows of (host, paths) that are broadcast, 4 kB each at most; more hosts are joined by shuffle.
+BROADCAST_HOSTS = 10_000
 #: Characters of html that a worker handles at once.
 CHUNK = 2_000_000
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>|<[!?/][^>]*>""", re.S)
+#: Nothing is tried twice: what is left open at the end of the page takes one pass.
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?/][^>]*+>|<[/a-zA-Z][^>]*+\Z""", re.S)
 _MARK = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool]:
-    """The classes with digits levelled, whether they are not the article's, whether they are."""
+def _marks(attributes: str, droppable: bool) -> tuple[str, bool, bool]:
+    """The classes with digits levelled, whether they are not the article's, whether they
+    are. Where an element isn't droppable, a word counts only if it is a whole token."""
     classes, never, seldom, good = "", False, False, False
     for name, value in _MARK.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _INVISIBLE.search(value):
             return classes, True, False
         if name == "class":
-            classes = "".join("." + re.sub(r"\d+", "0", c) for c in sorted(set(value.split()))[:4])
+            classes = "".join("." + re.sub(r"\d+", "0", c) for c in sorted(set(value.split())))
         if name in ("class", "id", "role"):
             for token in value.split():
-                words = set(_WORDS.findall(_CAMEL.sub("-", token).lower()))
+                words = set(_WORDS.findall(_CAMEL.sub("-", token).lower())) if droppable else {token.lower()}
                 never |= not words.isdisjoint(NEVER) and words.isdisjoint(WITHOUT)
                 seldom |= not words.isdisjoint(SELDOM)
                 good |= not words.isdisjoint(ARTICLE)
@@ -119,7 +116,7 @@ def parse(page: str) -> tuple[list[Block], list[str], list[float]]:
     linked = 0
     dropped = headings = links = articles = 0
     end = 0
-    marks: dict[str, tuple[str, bool, bool]] = {}
+    marks: dict[tuple[str, bool], tuple[str, bool, bool]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -187,9 +184,10 @@ def parse(page: str) -> tuple[list[Block], list[str], list[float]]:
                 pop()
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        found = marks.get(m[3])
+        held = m[3], tag in DROPPABLE
+        found = marks.get(held)
         if found is None:
-            found = marks[m[3]] = _marks(m[3]) if m[3] and m[3] != "/" else ("", False, False)
+            found = marks[held] = _marks(*held) if m[3] and m[3] != "/" else ("", False, False)
         classes, bad, good = found
         # A header within an article holds its title: only headings stay.
         gone = tag in DROPPED and not (tag == "header" and articles) or bad and tag not in ("html", "body", "article", "main") and tag not in HEADING
@@ -199,7 +197,8 @@ def parse(page: str) -> tuple[list[Block], list[str], list[float]]:
         container = -1
         if not gone and not dropped and tag in CONTAINER:
             container = len(paths)
-            paths.append(">".join(path)[-MOST_PATH:])
+            whole = ">".join(path)
+            paths.append(whole if len(whole) <= PLAIN_PATH else f"{tag} {xxhash.xxh3_128_hexdigest(whole)}")
             bonus.append(1.0 + 0.25 * (tag in ("article", "main") or good))
             inside.append(container)
         stack.append((tag, container, gone, tag in HEADING))
@@ -267,29 +266,28 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "html", CHUNK):
         found = [extract(parse(page), paths or []) if page else "" for page, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string())], names=["page_id", "url", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, batch.schema.field("html").type)], names=["page_id", "url", "text"])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, paths): the winning paths of every host, most votes first, at equal
     votes the greater weight, then the first by name."""
     votes = pages.select(url_host(F.col("url")).alias("host"), "html").where("html IS NOT NULL").mapInArrow(_votes, "host string, path string, votes long, weight long")
-    by_path = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("weight").alias("weight"))
-    best = by_path.groupBy("host").agg(F.max("votes").alias("most"))
-    kept = by_path.join(best, "host").where(F.col("votes") >= SHARE * F.col("most"))
+    by_path = stash(votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("weight").alias("weight")), "votes")
+    every = by_path.groupBy("host").agg(F.sum("votes").alias("every"))
+    kept = by_path.join(every, "host").where(F.col("votes") >= SHARE * F.col("every"))
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("weight")).alias("w"), "path")))
-    return kept.groupBy("host").agg(F.slice(F.transform(ranked, lambda x: x["path"]), 1, MOST_PATHS).alias("paths"))
+    return kept.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
     The text is that of the containers whose generalised path (tags and classes
-    from the root, digits levelled) wins on the page's host; paths with at least a
-    tenth of the winner's votes are winners too, for hosts with several layouts. A
-    page without any winning path is extracted by its own best container. Menus,
+    from the root, digits levelled) wins on the page's host; all paths with at least a
+    twentieth of the host's votes win, for hosts with several layouts. A page without any winning path is extracted by its own best container. Menus,
     headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-    comments are left out by tag, class, id or role wherever they are. Character
+    comments are left out by tag, or by the class, id or role of a container. Character
     references are decoded; white space within a block becomes one space; blocks
     are joined by an empty line. Null and empty html, and html without text, give
     an empty text. Pages without a host in their url vote together. Repeated rows
@@ -303,9 +301,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     if winners.count() <= BROADCAST_HOSTS:
         winners = F.broadcast(winners)
     rows = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host")).join(winners, "host", "left")
-    found = rows.select("page_id", "url", "html", "paths").mapInArrow(_extracted, "page_id long, url string, text string")
+    found = rows.select("page_id", "url", "html", "paths").mapInArrow(_extracted, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract_pages(table(spark, sf_dir, "pages"))
