@@ -12,14 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, held_out, mix, table, texts
+from .common import WordHashes, chunks, drop_stash, held_out, mix, stash, table, texts
 
 #: Labelled documents that the model is fitted on at most, the first by a hash
 #: of doc_id; all where there are fewer. About 40 MB of features reach the driver.
 SAMPLE = 3_000
-#: Hashed features of one training document at most, the smallest hashes; they
-#: bound what one very long document can send to the driver.
-MOST_FEATURES = 20_000
 #: A feature of fewer training documents is left out.
 LEAST_DOCS = 3
 EPOCHS = 4
@@ -27,6 +24,8 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 0.1
 #: Letters of the stems: inflected and compound words share them.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
+#: The bias is the share of toxic labels, this at most: without evidence a text is not toxic.
+MOST_PRIOR = 0.15
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -61,15 +60,15 @@ def features(text: bytes, hashes: WordHashes, stems: Stems) -> np.ndarray:
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, stems = WordHashes(), Stems()
     for batch in chunks(batches):
-        rows = [np.unique(features(t, hashes, stems))[:MOST_FEATURES].tobytes() for t in texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("toxic"), pa.array(rows, pa.binary())], names=["order", "toxic", "found"])
+        rows = [np.unique(features(t, hashes, stems)).view(np.int32) for t in texts(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["order", "toxic", "found"])
 
 
 class Ftrl:
     """FTRL-proximal (McMahan et al. 2013): every coordinate has its own rate."""
 
-    def __init__(self, n: int):
-        self.z, self.n = np.zeros(n), np.zeros(n)
+    def __init__(self, n: int, bias: float = 0.0):
+        self.z, self.n, self.bias = np.zeros(n), np.zeros(n), bias
 
     def weights(self, at) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -77,40 +76,46 @@ class Ftrl:
 
     def learn(self, at: np.ndarray, y: float) -> None:
         w = self.weights(at)
-        g = _sigmoid(w.sum()) - y
+        g = _sigmoid(self.bias + w.sum()) - y
         rate = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
         self.z[at] += g - rate * w
         self.n[at] += g * g
 
 
+def _logit(p: float) -> float:
+    return float(np.log(p / (1 - p)))
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature hashes in order, weights, bias) from the documents outside the
-    held-out fold. Without labelled documents: no weights and a bias of 0."""
+    held-out fold. The bias is not learned: see MOST_PRIOR. Without labelled documents
+    there are no weights."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "order long, toxic int, found binary").collect()
-    rows.sort(key=lambda r: (r.order, bytes(r.found)))
-    if not rows:
-        return np.zeros(0, np.uint32), np.zeros(0), 0.0
-    sets = [np.frombuffer(r.found, np.uint32) for r in rows]
-    keys, counts = np.unique(np.concatenate(sets), return_counts=True)
-    keys = keys[counts >= LEAST_DOCS]
-    bias = len(keys)
-    at = []
-    for s in sets:
-        i = np.minimum(np.searchsorted(keys, s), max(0, bias - 1))
-        at.append(np.append(i[keys[i] == s] if bias else i[:0], bias))
-    model = Ftrl(bias + 1)
+    found = stash(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "order long, toxic int, found array<int>").withColumn("row", F.xxhash64("order", "found")), "features")
+    # Features that few documents have stay on the executors, however long a text is.
+    each = found.select("row", "order", "toxic", F.explode("found").alias("x"))
+    common = each.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {LEAST_DOCS}").select("x")
+    rows = each.join(common, "x").groupBy("order", "row").agg(F.first("toxic").alias("toxic"), F.sort_array(F.collect_set("x")).alias("found")).orderBy("order", "row").collect()
+    positive = found.agg(F.avg("toxic")).first()[0]
+    drop_stash(found)
+    bias = _logit(min(MOST_PRIOR, max(1e-3, positive))) if positive is not None else _logit(MOST_PRIOR)
+    sets = [np.sort(np.array(r.found, np.int32).view(np.uint32)) for r in rows]
+    if not sets:
+        return np.zeros(0, np.uint32), np.zeros(0), bias
+    keys = np.unique(np.concatenate(sets))
+    at = [np.searchsorted(keys, s) for s in sets]
+    model = Ftrl(len(keys), bias)
     for _ in range(EPOCHS):
         for i, r in zip(at, rows):
             model.learn(i, float(r.toxic))
     w = model.weights(slice(None))
-    used = np.flatnonzero(w[:-1])
-    return keys[used], w[used], float(w[-1])
+    used = np.flatnonzero(w)
+    return keys[used], w[used], bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
