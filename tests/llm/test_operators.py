@@ -1,5 +1,10 @@
 """The other training-data operators: SQL, brute force, held-out accuracy, edge cases."""
 
+import math
+import random
+import time
+
+import numpy as np
 import pytest
 
 from tests.oracle import assert_same
@@ -47,7 +52,7 @@ def test_classifiers_on_odd_rows(spark):
     got = language.identify(docs, net).collect()
     assert [r.lang_pred for r in got][:3] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got)
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0.5}
+    assert {round(r.score, 6) for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {toxicity.MOST_PRIOR}
     assert language.fit(docs.limit(0)) is None
 
 
@@ -114,3 +119,106 @@ def test_revisits(spark):
     assert got[3].headers == {"etag": '"1"', "date": "new", "content-length": "9"} and got[3].digest == "d1" and got[5].refers_to == 1
     assert [r.payload for r in warc.fill_revisits(records).collect()] == ["body"]
     assert warc.resolve_revisits(records.limit(0)).count() == 0
+
+
+def test_html_that_is_cut_off_or_odd():
+    text = lambda page: html_text.extract(html_text.parse(page), [])
+    began = time.time()
+    assert text("<div>text</div><a " + " ".join(f'a{k}="v{k}"' for k in range(50)) + ' x="') == "text"
+    assert time.time() - began < 1
+    assert text("a<!-->b") == text("a<!--->b") == text("a<!-- x --!>b") == "ab"
+    assert text('<p class="social-history">One</p><p id="share-of-trade">two</p><p class="ad">no</p><div class=ad-box>no</div>') == "One\n\ntwo"
+    nested = "<div class=a>" * 300 + "<p>deep</p>"
+    assert text(nested) == "deep" and len(set(html_text.parse(nested)[1])) == 300
+    assert text("<p>" + "word " * 300_000).count(" ") == 299_999
+
+
+def test_pages_that_repeat_tie_or_are_missing(spark):
+    pages = spark.createDataFrame([("a", "http://h/1", "<div class=x><p>one two</p></div>")] * 2 + [("b", "http://h/2", "<div class=y><p>one two</p></div>")], "page_id string, url string, html string")
+    assert [r.text for r in html_text.extract_pages(pages).collect()] == ["one two"] * 3
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_revisits_with_header_names_that_differ_by_case(spark):
+    entries = "map_from_arrays(array('ETag', 'etag', 'Date'), array('\"1\"', '\"2\"', 'd'))"
+    rows = spark.sql(f"""
+        SELECT 1L AS record_id, 'response' AS kind, 'http://a/x' AS url, timestamp'2024-01-01' AS ts, 200 AS status, '"1"' AS etag, '' AS last_modified, 'd' AS digest, {entries} AS headers
+        UNION ALL SELECT 2L, 'revisit', 'http://a/x', timestamp'2024-01-02', 304, '"1"', '', 'd', NULL
+        UNION ALL SELECT 3L, 'revisit', NULL, NULL, 304, '"1"', '', 'd', NULL""")
+    got = {r.record_id: r for r in warc.resolve_revisits(rows.unionByName(rows)).collect()}
+    assert got[2].headers == {"etag": '"1"', "date": "d"} and got[3].verdict == "missing"
+    assert warc.resolve_revisits(rows.unionByName(rows)).count() == 4
+
+
+def test_rules_of_any_length_and_clashing_columns(spark):
+    path = "/" + "p" * 3000
+    rules = spark.createDataFrame([("a.org", path, "block"), ("b.org", "/", "block"), ("b.org", "/", "allow")], url_filter.RULE_SCHEMA)
+    pages = spark.createDataFrame([(1, f"http://x.a.org{path}/q"), (2, "http://b.org/"), (3, None)], "page_id long, url string").selectExpr("*", "7 AS asked_url", "8 AS best_rule")
+    got = {r.page_id: r for r in url_filter.url_filter(pages, rules).collect()}
+    assert [got[i].verdict for i in (1, 2, 3)] == ["block", "block", "allow"] and got[1].asked_url == 7 and got[1].best_rule == 8
+
+
+def test_empty_texts_are_not_toxic_under_a_fitted_model(spark, small):
+    model = toxicity.fit(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet"))
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " .. "), (4, "word " * 200_000)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score(odd, model).collect()}
+    assert len(model[0]) > 50 and max(scores[i] for i in (1, 2, 3)) < toxicity.THRESHOLD and 0 <= scores[4] <= 1
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = random.Random(2)
+    model, z, n = toxicity.Ftrl(6, -0.5), [0.0] * 6, [0.0] * 6
+    for _ in range(300):
+        at, y = rng.sample(range(6), 3), float(rng.random() < 0.4)
+        model.learn(np.array(at), y)
+        w = [0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2) for i in at]
+        g = 1 / (1 + math.exp(-(-0.5 + sum(w)))) - y
+        for i, x in zip(at, w):
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * x
+            n[i] += g * g
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+
+
+def test_flows_cost_least():
+    rng = random.Random(3)
+    for _ in range(25):
+        supply = {p: rng.randrange(1, 4) for p in ("a", "b", "ab")}
+        members = {"a": ["a"], "b": ["b"], "ab": ["a", "b"]}
+        quota = {"a": rng.randrange(1, 7), "b": rng.randrange(1, 7)}
+        flow = mixing.min_cost_flow(supply, members, quota)
+        price = lambda p, taken: sum((k // supply[p]) + 1 for k in range(taken))
+        given = lambda f, p: sum(v for (q, _), v in f.items() if q == p)
+        best = max(
+            (a + b + c + d, -(price("a", a) + price("b", b) + price("ab", c + d)))
+            for a in range(min(3 * supply["a"], quota["a"]) + 1) for b in range(min(3 * supply["b"], quota["b"]) + 1)
+            for c in range(quota["a"] - a + 1) for d in range(quota["b"] - b + 1) if c + d <= 3 * supply["ab"]
+        )
+        assert (sum(flow.values()), -sum(price(p, given(flow, p)) for p in supply)) == best
+
+
+def test_gradients_and_tables_of_the_network():
+    net = language.ByteNet(["a", "b"], seed=1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 256, (5, 20)).astype(np.uint8), np.array([0, 1, 1, 0, 1])
+    loss = lambda: -net.log_prob(x, net.tables())[np.arange(5), y].mean()
+    got = net._step(x, y)
+    for name, value in net.p.items():
+        at = tuple(int(rng.integers(0, n)) for n in value.shape) if name != "e" else (int(x[0, 3]), 2)
+        before = value[at]
+        value[at] = before + 1e-5
+        up = loss()
+        value[at] = before - 1e-5
+        down = loss()
+        value[at] = before
+        assert abs((up - down) / 2e-5 - got[name][at]) < 1e-4, name
+
+
+def test_items_that_repeat_count_once(spark):
+    item = " ".join(f"i{k}" for k in range(13))
+    bench = spark.createDataFrame([(7, item), (7, item + " more"), (None, item), (None, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (2, item + " x" * 200_000)], "doc_id long, text string")
+    for block in (10**6, 20):
+        got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, block).collect()}
+        assert got[1].n_items == 2 and got[1].n_hit == 13 and got[1].contaminated and not got[2].contaminated
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
