@@ -153,3 +153,31 @@ def test_long_conversations_are_not_cut_by_row_number(spark):
     assert len(links) == len(heads) == 10_300
     assert {t: d for t, d in links.items() if d is not None} == {10_000: 9_999}
     assert {t: h for t, h in heads.items() if h != t} == {10_000: 9_999}
+
+
+def test_urls_and_errors_by_literal_examples(spark):
+    from pyspark.sql import functions as F
+
+    from tributary.functions import text, urls, values
+
+    u = lambda f, x: spark.createDataFrame([(x,)], "u string").select(f(F.col("u"))).first()[0]
+    assert u(urls.canonical, "HTTPS://A.org:443/?b=2&source=x&a=1&c=#f") == "https://a.org/?a=1&b=2"
+    assert u(urls.canonical, "http://a.org/x/?mycampaign=1") == "http://a.org/x"
+    assert u(urls.normalised, "https://m.a.org/x/?ref=1&utm_id=2&UTM_SOURCE=3&utm_source=4&e") == "https://a.org/x?UTM_SOURCE=3&ref=1&utm_id=2"
+    assert u(urls.normalised, "https://a.org/") == "https://a.org/"
+    assert u(urls.cleaned, "https://a.org/x/?Campaign=1&z=1&a=2#f") == "https://a.org/x/?z=1&a=2#f"
+    assert u(urls.cleaned, "https://a.org/" + "x" * 2048) is None
+    e = lambda *x: spark.createDataFrame([x], "k string, s int, t string").select(values.error_class(F.col("k"), F.col("s"), F.col("t"))).first()[0]
+    assert e("TimeoutError", 500, "quota") == "retryable_network" and e("E", 404, "limit") == "non_retryable_validation"
+    assert e("E", 302, "Daily Limit") == "non_retryable_quota" and e("KeyError", None, "x") == "non_retryable_validation" and e("E", None, None) == "retryable_network"
+    assert len(text.STOP_WORDS) == len(set(text.STOP_WORDS)) == 32
+
+
+def test_a_soft_link_ends_the_search(spark):
+    from tributary.operators.conversation import near_duplicates
+
+    rows = [(1, 0, "aa bb cc dd ee ff gg hh ii"), (1, 1, "aa bb cc dd ee ff gg xx yy"), (1, 2, "aa bb cc dd ee ff gg hh xx")]
+    df = spark.createDataFrame(rows, "group_id long, turn long, content string").selectExpr("*", "timestamp'2025-01-01' + make_interval(0, 0, 0, 0, 0, int(turn)) AS posted_at")
+    got = {r.turn: (r.duplicate_of, r.soft_link) for r in near_duplicates(df).collect()}
+    a, b = (bag_cosine(bag(rows[2][2]), bag(rows[k][2])) for k in (0, 1))
+    assert (got[2] == (1, None)) if b >= HARD else (got[2] == (None, 1)) if b >= SOFT else a < SOFT or got[2][0] == 0

@@ -18,7 +18,8 @@ def expected_baseline(per_day: Column, window_seconds: int) -> Column:
 
 
 def burst(observed: Column, expected: Column) -> Column:
-    return observed / F.greatest(F.lit(1.0), expected)
+    """Observed against expected, to two digits, as thresholds compare it."""
+    return F.round(observed / F.greatest(F.lit(1.0), expected), 2)
 
 
 def rate_of_change(short: Column, long: Column) -> Column:

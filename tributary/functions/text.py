@@ -14,7 +14,10 @@ from pyspark.sql import types as T
 PHONE = r"(\+?\d[\d\s\-().]{6,})"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 TOKEN = r"[a-zA-Zа-яА-ЯёЁ0-9]{2,}"
-STOP_WORDS = "this that with from have they будет если когда чтобы после даже".split()
+STOP_WORDS = (
+    "это или как что так если где нет для про при когда через уже после будет вас они все еще есть эта этот эти "
+    "with from have just also about http https"
+).split()
 
 
 def tokens(text: Column) -> Column:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed lists: parameters that tell nothing of the page.
-TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref"]
+#: Fixed lists: parameters that tell nothing of the page, to the canonical and the cleaned
+#: url, and to the normalised one.
+TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source", "campaign"]
+NORMALISER_TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid"]
+#: Characters of a cleaned url; longer ones are dropped.
+MOST_CHARS = 2048
 PORTS = {"http": ":80", "https": ":443"}
 
 
@@ -28,6 +32,16 @@ def parameters(url: Column) -> Column:
     return F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: p != "")
 
 
+def valued(url: Column) -> Column:
+    """Parameters as written, without those of a blank value."""
+    return F.filter(parameters(url), lambda p: p.rlike("^[^=]*=."))
+
+
+def bare_path(url: Column) -> Column:
+    """The path without slashes at its end, but for the root's."""
+    return F.when(F.length(path(url)) > 1, F.regexp_replace(path(url), "/+$", "")).otherwise(path(url))
+
+
 def fragment(url: Column) -> Column:
     return F.regexp_extract(url, r"(#.*)$", 1)
 
@@ -41,12 +55,13 @@ def _with(base: Column, kept: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Scheme and host in lower case, no default port, no trailing slash, parameters
-    sorted, without those whose name holds a tracking word; no fragment. (F31)"""
+    """Scheme and host in lower case, no default port, no trailing slash but the root's,
+    parameters sorted, without blank ones and those whose name holds a tracking word; no
+    fragment. (F31)"""
     default = F.when(scheme(url) == "http", ":80$").otherwise(":443$")
     holds = lambda p: F.exists(F.array(*[F.lit(t) for t in TRACKING]), lambda t: _name(p).contains(t))
-    kept = F.array_sort(F.filter(parameters(url), lambda p: ~holds(p)))
-    return _with(F.concat(scheme(url), F.lit("://"), F.regexp_replace(host(url), default, ""), F.regexp_replace(path(url), "/+$", "")), kept)
+    kept = F.array_sort(F.filter(valued(url), lambda p: ~holds(p)))
+    return _with(F.concat(scheme(url), F.lit("://"), F.regexp_replace(host(url), default, ""), bare_path(url)), kept)
 
 
 def url_hash(url: Column) -> Column:
@@ -54,17 +69,20 @@ def url_hash(url: Column) -> Column:
 
 
 def normalised(url: Column) -> Column:
-    """Without a leading m. or amp., without parameters of exactly these names or
-    beginning with utm_, sorted; no fragment; the port stays. (F33)"""
-    kept = F.array_sort(F.filter(parameters(url), lambda p: ~_name(p).isin(TRACKING) & ~_name(p).startswith("utm_")))
-    return _with(F.concat(scheme(url), F.lit("://"), F.regexp_replace(host(url), r"^(m|amp)\.", ""), path(url)), kept)
+    """Without a leading m. or amp. and a trailing slash but the root's, without blank
+    parameters and those of exactly these names, case included; sorted; no fragment; the
+    port stays. (F33)"""
+    kept = F.array_sort(F.filter(valued(url), lambda p: ~F.substring_index(p, "=", 1).isin(NORMALISER_TRACKING)))
+    return _with(F.concat(scheme(url), F.lit("://"), F.regexp_replace(host(url), r"^(m|amp)\.", ""), bare_path(url)), kept)
 
 
 def cleaned(url: Column) -> Column:
-    """Parameters of exactly these names go; order and fragment stay; 2048 characters."""
+    """Parameters of exactly these names and blank ones go; order and fragment stay; null
+    beyond MOST_CHARS. (F35)"""
     base = F.regexp_extract(url, r"^([^?#]*)", 1)
-    kept = F.filter(parameters(url), lambda p: ~_name(p).isin(TRACKING))
-    return F.substring(F.concat(_with(base, kept), fragment(url)), 1, 2048)
+    kept = F.filter(valued(url), lambda p: ~_name(p).isin(TRACKING))
+    whole = F.concat(_with(base, kept), fragment(url))
+    return F.when(F.length(whole) <= MOST_CHARS, whole)
 
 
 def crawl_key(url: Column) -> Column:

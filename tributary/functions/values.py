@@ -41,15 +41,23 @@ def media_policy(mime: Column, size: Column, blocked: Column) -> Column:
     return F.when(~mime.startswith("image/"), "skip_mime").when(size > 10_000_000, "skip_size").when(blocked, "skip_channel").when(size > 1_000_000, "ocr").otherwise("vision")
 
 
-def error_class(status: Column, text: Column) -> Column:
-    """What kind of failure, so whether to try again."""
+#: Fixed names: exceptions of the network and of wrong values.
+NETWORK_ERRORS = ["ConnectionError", "TimeoutError"]
+VALUE_ERRORS = ["ValueError", "TypeError", "KeyError"]
+
+
+def error_class(kind: Column, status: Column, text: Column) -> Column:
+    """What kind of failure, so whether to try again: by the exception's name, then its
+    status, then words of its text; what is left counts as the network's. (F62)"""
     low = F.lower(text)
     return (
-        F.when(status == 429, "rate_limit")
-        .when(status.between(500, 599) | low.contains("timeout"), "transient")
-        .when(status.isin(401, 403), "auth")
-        .when(status.between(400, 499), "permanent")
-        .otherwise("unknown")
+        F.when(kind.isin(NETWORK_ERRORS), "retryable_network")
+        .when(status == 429, "retryable_rate_limit")
+        .when(status.between(500, 599), "retryable_server_error")
+        .when(status.between(400, 499), "non_retryable_validation")
+        .when(low.contains("quota") | low.contains("limit") | low.contains("exceeded"), "non_retryable_quota")
+        .when(kind.isin(VALUE_ERRORS), "non_retryable_validation")
+        .otherwise("retryable_network")
     )
 
 

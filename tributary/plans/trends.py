@@ -81,7 +81,7 @@ def _bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {POSTS_SQL}, a AS ({_idle_sql(300, "freq_5m")}), b AS ({_idle_sql(3600, "freq_1h")}), c AS ({_idle_sql(86_400, "freq_24h")}), {_DIVERSITY},
-    r AS (SELECT post_id, freq_5m / greatest(1.0, freq_24h / 288.0) AS ratio, freq_5m - greatest(freq_1h, 1) AS roc, n_sources FROM a JOIN b USING (post_id) JOIN c USING (post_id) JOIN d USING (post_id))
+    r AS (SELECT post_id, round(freq_5m / greatest(1.0, freq_24h / 288.0), 2) AS ratio, freq_5m - greatest(freq_1h, 1) AS roc, n_sources FROM a JOIN b USING (post_id) JOIN c USING (post_id) JOIN d USING (post_id))
     SELECT post_id, round(ratio, 6) AS ratio, roc, n_sources, concat_ws(',', CASE WHEN ratio >= 3 THEN 'burst' END, CASE WHEN n_sources >= 3 THEN 'sources' END, CASE WHEN roc > 0 THEN 'growth' END) AS reasons FROM r"""
 )
 def burst_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
