@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
