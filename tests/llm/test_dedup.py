@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tributary.llm import near_dedup, substring_dedup
-from tributary.llm.common import WordHashes, components, shingles
+from tributary.llm.common import WordHashes, components, shingles, text_shingles, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -128,6 +128,24 @@ def test_components(spark):
     assert got == {5: 2, 4: 2, 3: 2, 2: 2, 20: 2, 10: 2, 9: 7, 8: 7, 7: 7}
 
 
+def test_word_hashes_equal_words_one_by_one():
+    rng = random.Random(2)
+    found = [b"", b" \t ", "Ärger a\u00a0b A".encode(), b"x" * 3000 + b" y", bytes(rng.choice(b"aB \x0b\n") for _ in range(600_000)), b"\x0c\ra", b"none"]
+    hashes, ends = word_hashes(found)
+    known, begin = {}, 0
+    for text, end in zip(found, ends.tolist()):
+        words = text.lower().split()
+        assert len(words) == end - begin
+        assert all(known.setdefault(w, h) == h for w, h in zip(words, hashes[begin:end].tolist()))
+        begin = end
+    assert len(set(known.values())) == len(known) > 300
+    begins = [0, *ends.tolist()]
+    for width in (3, 5):
+        for got, a, b in zip(text_shingles(found, width), begins, ends.tolist()):
+            assert got.tolist() == shingles(hashes[a:b], width).tolist()
+    assert text_shingles([], 5) == []
+
+
 def test_compact_windows_are_all_windows_by_definition():
     rng = np.random.default_rng(0)
     for n, least in ((5, 8), (8, 8), (60, 5), (200, 46), (90, 1)):

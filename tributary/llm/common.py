@@ -129,11 +129,6 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def lower_words(text: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return text.translate(_ASCII_LOWER).split()
-
-
 class WordHashes(dict):
     """64-bit hash of each word; starts afresh when it holds `most` words."""
 
@@ -151,6 +146,28 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): 64-bit hashes of the words of all texts in a row, A-Z in lower case,
+    and where each text's end. A word's hash is the mixed sum of a product for each byte
+    and its place, so whole pieces of text are hashed at once; a word of over
+    `_PIECE` bytes takes some 40 bytes of memory for each of its own."""
+    stops = np.cumsum([len(t) + 1 for t in found])
+    raw = np.frombuffer(b" ".join([b"", *found, b""]).translate(_ASCII_LOWER), np.uint8)
+    inside = _IN_WORD[raw]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    out = np.zeros(len(starts), np.uint64)
+    bounds = np.unique(np.concatenate(([0], np.searchsorted(starts, np.arange(_PIECE, len(raw), _PIECE)), [len(starts)]))).tolist()
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        a, b, size = starts[i], ends[j - 1], ends[i:j] - starts[i:j]
+        offsets = np.cumsum(size) - size
+        letters = raw[a:b][inside[a:b]]
+        place = np.arange(len(letters)) - np.repeat(offsets, size)
+        factors = _PLACES if (longest := size.max()) <= len(_PLACES) else _factors(longest)
+        out[i:j] = mix(np.add.reduceat(_LETTERS[letters] * factors[place], offsets) + size.astype(np.uint64))
+    return out, np.searchsorted(starts, stops)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (a bijection)."""
     x = x ^ (x >> np.uint64(33))
@@ -173,6 +190,24 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
+def _factors(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+_PIECE = 1 << 18
+_IN_WORD = np.array([c not in b" \t\n\v\f\r" for c in range(256)])
+_LETTERS = mix(np.arange(1 << 20, (1 << 20) + 256, dtype=np.uint64))
+_PLACES = _factors(1024)
+
+
+def text_shingles(found: list[bytes], width: int) -> list[np.ndarray]:
+    """Hashes of the runs of `width` words of every text, worked out over all at once."""
+    words, ends = word_hashes(found)
+    flat = shingles(words, width)
+    begins = np.concatenate(([0], ends))
+    return [flat[a : b - width + 1] if b - a >= width else shingles(words[a:b], width) for a, b in zip(begins.tolist(), ends.tolist())]
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(id, component) for every id in edges (a, b): the smallest id reachable.
 

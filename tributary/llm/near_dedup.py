@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches_of, bounded_broadcast, chunks, components, drop_stash, lower_words, mix, shingles, stash, table, texts
+from .common import batches_of, bounded_broadcast, chunks, components, drop_stash, mix, stash, table, text_shingles, texts
 
 #: Registers of a sketch and the bands they are cut into: at a similarity of 0.85
 #: a pair shares no band once in 10^7 times, at 0.8 once in 10^5.
@@ -87,17 +87,15 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     return max(0.0, (float((a == b).mean()) - by_chance) / (1 - by_chance))
 
 
-def _sets(batch: pa.RecordBatch, width: int, hashes: WordHashes) -> Iterator[np.ndarray]:
-    for text in texts(batch):
-        yield np.unique(shingles(hashes.of(lower_words(text)), width))
+def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    yield from map(np.unique, text_shingles(texts(batch), width))
 
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in chunks(batches):
             n, same, registers = [], [], []
-            for s in _sets(batch, width, hashes):
+            for s in _sets(batch, width):
                 n.append(len(s))
                 same.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 registers.append(sketch(s).tobytes() if len(s) else None)
@@ -138,9 +136,8 @@ def _likely(threshold: float):
 
 def _full(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(batch, width, hashes)], pa.binary())], names=["doc_id", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(batch, width)], pa.binary())], names=["doc_id", "found"])
 
     return run
 
