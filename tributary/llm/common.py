@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +62,8 @@ def drop_stash(df: DataFrame) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int, size: int = 16_000_000) -> Iterator[None]:
-    """What runs inside hands at most so many rows and about so many bytes at once to Python; for wide rows."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """What runs inside runs with these settings of the session."""
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -75,6 +74,11 @@ def batches_of(spark: SparkSession, rows: int, size: int = 16_000_000) -> Iterat
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def batches_of(spark: SparkSession, rows: int, size: int = 16_000_000) -> AbstractContextManager[None]:
+    """What runs inside hands at most so many rows and about so many bytes at once to Python; for wide rows."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)})
+
+
 def bounded_broadcast(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it has at most BROADCAST_ROWS rows; else joined by shuffle."""
     df = stash(df, "small")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter, warc
+from . import ball_tree, decontaminate, html_text, language, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_ball_tree_clusters": ball_tree.op11_ball_tree_clusters,
 }
 
 #: Where SQL cannot express a query, tests hold it against a brute-force version.
@@ -23,4 +24,5 @@ ORACLE = {
     "op4_quality_rules": quality.OP4_SQL,
     "op5_revisits": warc.OP5_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op11_ball_tree_clusters": ball_tree.OP11_SQL,
 }
