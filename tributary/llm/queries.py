@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ball_tree, decontaminate, html_text, language, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter, warc
+from . import ball_tree, decontaminate, html_text, language, mixing, near_dedup, quality, substring_dedup, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_ball_tree_clusters": ball_tree.op11_ball_tree_clusters,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
 }
 
 #: Where SQL cannot express a query, tests hold it against a brute-force version.
