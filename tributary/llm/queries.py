@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ball_tree, decontaminate, html_text, language, mixing, near_dedup, quality, substring_dedup, suffix_dedup, toxicity, url_filter, warc
+from . import ball_tree, decontaminate, html_text, language, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_alignment, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_ball_tree_clusters": ball_tree.op11_ball_tree_clusters,
     "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 #: Where SQL cannot express a query, tests hold it against a brute-force version.
