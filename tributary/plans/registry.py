@@ -33,7 +33,7 @@ def _load() -> None:
         import_module(f"tributary.plans.{module}")
 
 
-MODULES = ["trends", "relational", "texts", "vectors", "graphs", "conversations", "upserts", "streams", "records", "history"]
+MODULES = ["trends", "relational", "texts", "vectors", "graphs", "conversations", "upserts", "streams", "records", "history", "state"]
 
 
 def queries() -> dict[str, Query]:

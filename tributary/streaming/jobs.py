@@ -75,8 +75,24 @@ def split_sink(good: str, bad: str, is_good: Callable[[DataFrame], DataFrame]) -
     return write
 
 
-def drain(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is and read what it wrote."""
+#: State with several variables, timers and lists needs this store.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def drain(rows: DataFrame, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
+    """Run a stream over all there is and read what it wrote; with these settings while it runs."""
+    spark = rows.sparkSession
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        return _drained(rows, mode)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _drained(rows: DataFrame, mode: str) -> DataFrame:
     spark = rows.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
