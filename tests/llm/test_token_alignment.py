@@ -20,7 +20,8 @@ def letters():
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-ENTRIES = {i: bytes(letters()[c] for c in e) for e, i in json.load(open(f"{token_alignment.TOKENIZERS}/{token_alignment.A_FILE}"))["model"]["vocab"].items() if i != 50256}
+LETTERS = letters()
+ENTRIES = {i: bytes(LETTERS[c] for c in e) for e, i in json.load(open(f"{token_alignment.TOKENIZERS}/{token_alignment.A_FILE}"))["model"]["vocab"].items() if i != 50256}
 
 
 def piece(i):
@@ -73,6 +74,17 @@ def test_equals_all_pairs_of_tokens(spark):
     assert odd[-1] == "" and got[10][0] == 0
 
 
+def test_units_equal_whole_texts(spark, small):
+    """Cutting before spaces changes nothing: texts with and without runs of spaces, and whole documents."""
+    texts = ["don't  stop", "a\n b", "a \nb", "\n\n x  \n y", "tab\t two", "1 2.5 3,000 x's I'LL", "a\u00a0 b \u00a0c", "end ", " begin", "é\u0301 e", "☃ snow ☃☃", "\u2581 \u2581x y", "a. \r\n b", "it 's", "x \u3000 y", "\u00a0 \u00a0 b", "n\n \n \n b", "a\t \t \u00a0b"]
+    texts += [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(150).collect() if r.text]
+    one, other = token_alignment.Aligner(), token_alignment.Aligner()
+    other.uncut = {""}
+    assert one.uncut == {"  ", "\u00a0 "}
+    a, b = (sorted((r["doc"], r["n_a"], r["n_b"], r["n_groups"], r["groups_sha256"], sorted(zip(r["pairs"], r["times"]))) for r in x.align(texts).to_pylist()) for x in (one, other))
+    assert a == b and len(a) > 150
+
+
 def test_equals_all_pairs_on_documents(spark, tiny):
     rows = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(15)
     rows = rows.unionByName(rows.limit(5))

@@ -1,10 +1,12 @@
 """How the tokens of two tokenizers lie over each other.
 
-Every Arrow batch is cut into pieces of bounded text; a piece's tokens become two DuckDB
-tables of byte intervals. An ASOF join finds the B token under the first byte of an A
+A text is cut before its spaces where neither tokenizer has a token over such a cut, so
+that it is a sequence of units, and a task works each distinct unit out once. The tokens of new units become two
+DuckDB tables of byte intervals. An ASOF join finds the B token under the first byte of an A
 token, a range join the others it reaches into, and window sums over the offsets where
-both begin number the groups. Tasks count the documents of each id pair among their own, Spark
-adds the partial counts up, and hands each document the counts of its pairs.
+both begin number the groups; a second query adds units up to texts. Tasks count the
+documents of each id pair among their own, Spark adds the partial counts up, and hands each
+document the counts of its pairs.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, pairwise
 
 import duckdb
 import numpy as np
@@ -26,8 +29,10 @@ from .common import bounded_broadcast, chunks, drop_stash, settings, stash, tabl
 #: Folder of the public vocabularies; a parameter of every function that reads it.
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text whose tokens are in DuckDB at once; one document at least.
-PIECE_BYTES = 1_000_000
+#: Bytes of text that are aligned at once; one document at least.
+PIECE_BYTES = 2_000_000
+#: Letters of units, with what a unit needs besides, that a task remembers.
+UNIT_BYTES = 60_000_000
 #: Rows that meet in one Arrow batch where pairs of documents are counted.
 COUNTED_ROWS = 2_000
 
@@ -36,7 +41,7 @@ _NEW = [c.split()[0] for c in ALIGNED.split(", ")]
 _KINDS = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.int64())] * 2
 _NOTHING = [0, 0, 0, 0, "", [], []]
 
-#: a, b: token k of the piece, of document doc, has this id and the bytes from begin to stop.
+#: a, b: token k of the new units, of unit doc, has this id and the bytes from begin to stop.
 _STEPS = [
     """CREATE OR REPLACE TEMP TABLE met AS SELECT a.*, f.id AS under, f.stop AS until, f.begin = a.begin AS cut
         FROM a ASOF JOIN b AS f ON a.begin >= f.begin""",
@@ -48,11 +53,18 @@ _STEPS = [
         UNION ALL SELECT doc, 1, k, id, sum(cut::INTEGER) OVER w, lead(cut, 1, true) OVER w
         FROM (SELECT b.*, m.begin IS NOT NULL AS cut FROM b LEFT JOIN (SELECT begin FROM met WHERE cut) AS m USING (begin)) WINDOW w AS (ORDER BY k ROWS UNBOUNDED PRECEDING)""",
 ]
+_ADD = [
+    """INSERT INTO units SELECT doc, count(*) FILTER (side = 0), count(*) FILTER (side = 1), count(*) FILTER (side = 0 AND closes),
+        string_agg(id || CASE WHEN NOT closes THEN ',' WHEN side = 0 THEN '|' ELSE ';' END, '')[:-2] FROM (SELECT * FROM grouped ORDER BY g, side, k) GROUP BY doc""",
+    "INSERT INTO unit_pairs SELECT * FROM pairs",
+]
+#: words: unit at place k of the text doc.
 _RESULT = """
-WITH texts AS (SELECT doc, count(*) FILTER (side = 0) AS n_a, count(*) FILTER (side = 1) AS n_b, count(*) FILTER (side = 0 AND closes) AS n_groups,
-    string_agg(id || CASE WHEN NOT closes THEN ',' WHEN side = 0 THEN '|' ELSE ';' END, '' ORDER BY g, side, k) AS t FROM grouped GROUP BY doc),
-linked AS (SELECT doc, sum(n)::BIGINT AS n_links, list(pair) AS pairs, list(n) AS times FROM pairs GROUP BY doc)
-SELECT doc, n_a, n_b, n_groups, n_links, sha256(t[:-2]) AS groups_sha256, pairs, times FROM texts JOIN linked USING (doc) ORDER BY doc"""
+WITH texts AS (SELECT doc, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, sum(n_groups)::BIGINT AS n_groups, sha256(string_agg(t, ';')) AS groups_sha256
+    FROM (SELECT * FROM words JOIN units USING (unit) ORDER BY k) GROUP BY doc),
+together AS (SELECT doc, pair, sum(n * times)::BIGINT AS times FROM (SELECT doc, unit, count(*) AS times FROM words GROUP BY ALL) JOIN unit_pairs USING (unit) GROUP BY ALL),
+linked AS (SELECT doc, sum(times)::BIGINT AS n_links, list(pair) AS pairs, list(times) AS times FROM together GROUP BY doc)
+SELECT doc, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times FROM texts JOIN linked USING (doc) ORDER BY doc"""
 
 
 class Vocabulary:
@@ -97,48 +109,112 @@ def tokenizer_b(path: str):
     return lambda found: own.encode(found, num_threads=1), Vocabulary(tokens)
 
 
-def _intervals(ids: list[list[int]], names: list[int], vocabulary: Vocabulary) -> pa.Table:
-    """Texts follow each other; an offset belongs to one text."""
-    flat = np.fromiter((i for own in ids for i in own), np.int64)
+def _intervals(ids: list[np.ndarray], first: int, vocabulary: Vocabulary) -> pa.Table:
+    """The tokens of units first, first + 1, ...; units follow each other, so an offset belongs to one."""
+    flat = np.concatenate(ids)
     stop = np.cumsum(vocabulary.sizes[flat])
-    doc = np.repeat(np.array(names, np.int64), [len(x) for x in ids])
+    doc = np.repeat(np.arange(first, first + len(ids)), [len(x) for x in ids])
     return pa.table({"k": np.arange(len(flat)), "doc": doc, "id": flat, "begin": stop - vocabulary.sizes[flat], "stop": stop})
 
 
-def align_texts(con: duckdb.DuckDBPyConnection, found: list[str], tokenizers: str = TOKENIZERS) -> pa.Table:
-    """One row a text that has tokens: doc (its place in the list) and the columns of ALIGNED."""
-    (encode_a, bytes_a), (encode_b, bytes_b) = tokenizer_a(f"{tokenizers}/{A_FILE}"), tokenizer_b(f"{tokenizers}/{B_FILE}")
-    ids_a, ids_b = encode_a(found), encode_b(found)
-    names = [i for i, t in enumerate(found) if bytes_a.joined(ids_a[i]) == f" {t}".encode() == _joined(bytes_b, ids_b[i])]
-    con.register("a", _intervals([ids_a[i] for i in names], names, bytes_a))
-    con.register("b", _intervals([ids_b[i] for i in names], names, bytes_b))
-    for step in _STEPS:
-        con.execute(step)
-    out = con.execute(_RESULT).to_arrow_table()
-    con.unregister("a")
-    con.unregister("b")
+def _spelled(encode, vocabulary: Vocabulary, found: list[str]) -> list[np.ndarray | None]:
+    """The tokens of every text; None where they do not spell it with a space before it."""
+    out = []
+    for text, ids in zip(found, encode(found)):
+        try:
+            out.append(np.array(ids) if vocabulary.joined(ids) == f" {text}".encode() else None)
+        except (TypeError, IndexError):  # an id that stands for no bytes, as an unknown piece does
+            out.append(None)
     return out
 
 
-def _joined(vocabulary: Vocabulary, ids: list[int]) -> bytes | None:
-    """None where an id stands for no bytes, as an unknown piece does."""
-    try:
-        return vocabulary.joined(ids)
-    except (TypeError, IndexError):
-        return None
+def _spelled_together(encode, vocabulary: Vocabulary, units: list[str], together: int = 500) -> list[np.ndarray | None]:
+    """As `_spelled`, for units that may stand in a row with spaces between: many are encoded as one text."""
+    groups = [units[i : i + together] for i in range(0, len(units), together)]
+    out: list[np.ndarray | None] = []
+    for group, ids in zip(groups, _spelled(encode, vocabulary, [" ".join(g) for g in groups])):
+        if ids is not None:
+            stops, ends = np.cumsum(vocabulary.sizes[ids]), np.cumsum([len(u.encode()) + 1 for u in group])
+            at = np.searchsorted(stops, ends)
+            if (stops[at] == ends).all():
+                stop = [0, *(at + 1).tolist()]
+                out += [ids[i:j] for i, j in pairwise(stop)]
+                continue
+        out += _spelled(encode, vocabulary, group)
+    return out
 
 
-def _connection() -> duckdb.DuckDBPyConnection:
-    """A database in memory with one thread, which never writes to a local folder."""
-    return duckdb.connect(config={"threads": "1", "temp_directory": "", "autoinstall_known_extensions": "false"})
+class Aligner:
+    """Tables of the units that were met, in a database in memory with one thread, which never writes to a local folder."""
+
+    def __init__(self, tokenizers: str = TOKENIZERS):
+        self.con = duckdb.connect(config={"threads": "1", "temp_directory": "", "autoinstall_known_extensions": "false"})
+        (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = tokenizer_a(f"{tokenizers}/{A_FILE}"), tokenizer_b(f"{tokenizers}/{B_FILE}")
+        # Before these letters and a space nothing is cut: some token lies over it.
+        spanning = [t for v in (self.bytes_a, self.bytes_b) for t in v.tokens if t and b" " in t.lstrip(b" ")]
+        self.uncut = {"  "} | {a + b for t in spanning for a, b in pairwise(t.decode(errors="replace")) if b == " "}
+        self.before = tuple(x[0] for x in self.uncut)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units: dict[str, int] = {}
+        self.held = self.made = 0
+        self.con.execute("CREATE OR REPLACE TEMP TABLE units (unit BIGINT, n_a BIGINT, n_b BIGINT, n_groups BIGINT, t VARCHAR)")
+        self.con.execute("CREATE OR REPLACE TEMP TABLE unit_pairs (unit BIGINT, pair BIGINT, n BIGINT)")
+
+    def _units_of(self, text: str) -> list[str]:
+        """Cut before every space; a text in which a token may lie over one is a unit as a whole."""
+        return [text] if text[0] == " " or text[-1] == " " or any(x in text for x in self.uncut) else text.split(" ")
+
+    def _meet(self, found: list[str]) -> None:
+        """Work out units that are new. Those that the tokens of A or B do not spell get the number -1."""
+        new = [u for u in dict.fromkeys(found) if u not in self.units]
+        alone = [u for u in new if " " in u or u.endswith(self.before)]
+        rows = [u for u in new if not (" " in u or u.endswith(self.before))]
+        ids = [[*_spelled(e, v, alone), *_spelled_together(e, v, rows)] for e, v in ((self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b))]
+        spelled = [(u, a, b) for u, a, b in zip([*alone, *rows], *ids) if a is not None and b is not None]
+        self.units.update(dict.fromkeys(new, -1))
+        self.units.update((u, self.made + k) for k, (u, _, _) in enumerate(spelled))
+        self.held += sum(map(len, new)) + 100 * len(new)
+        if not spelled:
+            return
+        self.con.register("a", _intervals([a for _, a, _ in spelled], self.made, self.bytes_a))
+        self.con.register("b", _intervals([b for _, _, b in spelled], self.made, self.bytes_b))
+        self.made += len(spelled)
+        for step in [*_STEPS, *_ADD]:
+            self.con.execute(step)
+        self.con.unregister("a")
+        self.con.unregister("b")
+
+    def _numbers(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        flat = list(chain.from_iterable(words))
+        self._meet(flat)
+        return np.repeat(np.arange(len(words)), [len(own) for own in words]), np.fromiter(map(self.units.__getitem__, flat), np.int64, len(flat))
+
+    def align(self, found: list[str]) -> pa.Table:
+        """One row a text, none of them empty, that has tokens: doc (its place in the list) and the columns of ALIGNED."""
+        if self.held > UNIT_BYTES:
+            self._forget()
+        words = [self._units_of(t) for t in found]
+        doc, unit = self._numbers(words)
+        if (unit < 0).any():
+            # A text with a unit that is not spelled is looked at as a whole, and left out if it is not spelled either.
+            for i in np.unique(doc[unit < 0]).tolist():
+                words[i] = [found[i]]
+            doc, unit = self._numbers(words)
+            doc, unit = doc[unit >= 0], unit[unit >= 0]
+        self.con.register("words", pa.table({"doc": doc, "unit": unit, "k": np.arange(len(unit))}))
+        out = self.con.sql(_RESULT).to_arrow_table()
+        self.con.unregister("words")
+        return out
 
 
 def _align(batches: Iterator[pa.RecordBatch], tokenizers: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    con = _connection()
+    aligner = Aligner(tokenizers)
     for batch in chunks(batches, budget=PIECE_BYTES):
         rows = batch.column("text").to_pylist()
         distinct = {t: i for i, t in enumerate(dict.fromkeys(t for t in rows if t))}
-        made = align_texts(con, list(distinct), tokenizers)
+        made = aligner.align(list(distinct))
         at = {d: i for i, d in enumerate(made.column("doc").to_pylist())}
         # Texts without tokens take the row after the last.
         place = pa.array([at.get(distinct.get(t), len(at)) for t in rows])
@@ -149,10 +225,10 @@ def _align(batches: Iterator[pa.RecordBatch], tokenizers: str, schema: pa.Schema
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    con = _connection()
+    con = duckdb.connect(config={"threads": "1", "temp_directory": ""})
     for batch in batches:
         con.register("docs", pa.Table.from_batches([batch]))
-        yield from con.execute("SELECT pair, count(*)::BIGINT AS n FROM (SELECT unnest(pairs) AS pair FROM docs) GROUP BY pair").to_arrow_table().to_batches()
+        yield from con.sql("SELECT pair, count(*)::BIGINT AS n FROM (SELECT unnest(pairs) AS pair FROM docs) GROUP BY pair").to_arrow_table().to_batches()
         con.unregister("docs")
 
 
