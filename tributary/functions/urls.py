@@ -54,13 +54,29 @@ def _with(base: Column, kept: Column) -> Column:
     return F.concat(base, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
+def _decoded(p: Column) -> Column:
+    """Percent escapes and plus signs as the letters they stand for; as it is if an escape is malformed."""
+    return F.coalesce(F.try_url_decode(p), F.replace(p, F.lit("+"), F.lit(" ")))
+
+
+def _encoded(p: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(p), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def _by_name(kept: Column) -> Column:
+    """Parameters with values sorted by their decoded name, in their order within a name, and encoded anew."""
+    value = lambda p: F.substring(p, F.instr(p, "=") + 1, F.length(p))
+    parts = F.transform(kept, lambda p, i: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), _decoded(value(p)).alias("v")))
+    return F.transform(F.array_sort(parts), lambda e: F.concat(_encoded(e["k"]), F.lit("="), _encoded(e["v"])))
+
+
 def canonical(url: Column) -> Column:
     """Scheme and host in lower case, no default port, no trailing slash but the root's,
-    parameters sorted, without blank ones and those whose name holds a tracking word; no
+    parameters by name, without blank ones and those whose name holds a tracking word; no
     fragment. (F31)"""
     default = F.when(scheme(url) == "http", ":80$").otherwise(":443$")
-    holds = lambda p: F.exists(F.array(*[F.lit(t) for t in TRACKING]), lambda t: _name(p).contains(t))
-    kept = F.array_sort(F.filter(valued(url), lambda p: ~holds(p)))
+    holds = lambda p: F.exists(F.array(*[F.lit(t) for t in TRACKING]), lambda t: F.lower(_decoded(F.substring_index(p, "=", 1))).contains(t))
+    kept = _by_name(F.filter(valued(url), lambda p: ~holds(p)))
     return _with(F.concat(scheme(url), F.lit("://"), F.regexp_replace(host(url), default, ""), bare_path(url)), kept)
 
 
@@ -70,9 +86,9 @@ def url_hash(url: Column) -> Column:
 
 def normalised(url: Column) -> Column:
     """Without a leading m. or amp. and a trailing slash but the root's, without blank
-    parameters and those of exactly these names, case included; sorted; no fragment; the
+    parameters and those of exactly these names, case included; by name; no fragment; the
     port stays. (F33)"""
-    kept = F.array_sort(F.filter(valued(url), lambda p: ~F.substring_index(p, "=", 1).isin(NORMALISER_TRACKING)))
+    kept = _by_name(F.filter(valued(url), lambda p: ~_decoded(F.substring_index(p, "=", 1)).isin(NORMALISER_TRACKING)))
     return _with(F.concat(scheme(url), F.lit("://"), F.regexp_replace(host(url), r"^(m|amp)\.", ""), bare_path(url)), kept)
 
 

@@ -41,9 +41,9 @@ def media_policy(mime: Column, size: Column, blocked: Column) -> Column:
     return F.when(~mime.startswith("image/"), "skip_mime").when(size > 10_000_000, "skip_size").when(blocked, "skip_channel").when(size > 1_000_000, "ocr").otherwise("vision")
 
 
-#: Fixed names: exceptions of the network and of wrong values.
-NETWORK_ERRORS = ["ConnectionError", "TimeoutError"]
-VALUE_ERRORS = ["ValueError", "TypeError", "KeyError"]
+#: Fixed names: exceptions of the network and of wrong values, with those that derive from them.
+NETWORK_ERRORS = ["ConnectionError", "BrokenPipeError", "ConnectionAbortedError", "ConnectionRefusedError", "ConnectionResetError", "RemoteDisconnected", "TimeoutError"]
+VALUE_ERRORS = ["ValueError", "JSONDecodeError", "UnicodeError", "UnicodeDecodeError", "UnicodeEncodeError", "UnicodeTranslateError", "ValidationError", "UnsupportedOperation", "TypeError", "KeyError"]
 
 
 def error_class(kind: Column, status: Column, text: Column) -> Column:

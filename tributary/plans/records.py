@@ -127,13 +127,14 @@ def exclusive_quantile(ordered: Column, q: float) -> Column:
     return F.get(ordered, j - 1) * (1 - part) + F.get(ordered, j) * part
 
 
-@query("""WITH v AS (SELECT user_id, list_sort(list(value)) AS v, avg(value) AS mean, median(value) AS median FROM events GROUP BY 1 HAVING count(*) >= 2),
+@query("""WITH v AS (SELECT user_id, list_sort(list(value)) AS v, avg(value) AS mean, median(value) AS median FROM events GROUP BY 1),
     p AS (SELECT *, least(len(v) - 1, greatest(1, floor(0.95 * (len(v) + 1))))::BIGINT AS j FROM v)
-    SELECT user_id, round(mean, 6) AS mean, round(median, 6) AS median, round(v[j] * (1 - (0.95 * (len(v) + 1) - j)) + v[j + 1] * (0.95 * (len(v) + 1) - j), 6) AS p95 FROM p""")
+    SELECT user_id, round(mean, 6) AS mean, round(median, 6) AS median, round(CASE WHEN len(v) = 1 THEN v[1] ELSE v[j] * (1 - (0.95 * (len(v) + 1) - j)) + v[j + 1] * (0.95 * (len(v) + 1) - j) END, 6) AS p95 FROM p""")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, median and the 95th percentile by the exclusive method, of a user's values."""
+    """Mean, median and the 95th percentile by the exclusive method, of a user's values; one value is its own percentile."""
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("value")).alias("v"), F.avg("value").alias("mean"), F.median("value").alias("median"))
-    return rows.where(F.size("v") >= 2).select("user_id", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.round(exclusive_quantile(F.col("v"), 0.95), 6).alias("p95"))
+    p95 = F.when(F.size("v") == 1, F.get("v", 0)).otherwise(exclusive_quantile(F.col("v"), 0.95))
+    return rows.select("user_id", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.round(p95, 6).alias("p95"))
 
 
 @query("SELECT event_id FROM events WHERE abs(hour(ts + INTERVAL 3 HOUR) * 60 + minute(ts + INTERVAL 3 HOUR) - 540) <= 5")
@@ -159,14 +160,17 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("user_id").agg(F.array_join(values, ",").alias("types"))
 
 
-@query("""WITH w AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM conversations WHERE turn < 50),
-    t AS (SELECT conv_id, word, count(*) AS n FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, word) <= 20),
+@query("""WITH m AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{3,}') AS words FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 50),
+    w AS (SELECT conv_id, turn, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM m),
+    t AS (SELECT conv_id, word FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, min((turn, k))) <= 20),
     d AS (SELECT conv_id, arg_max(lower(text), turn) AS digest FROM conversations WHERE text IS NOT NULL GROUP BY 1)
     SELECT conv_id, round(avg(contains(digest, word)::INT), 6) AS coverage FROM t JOIN d USING (conv_id) GROUP BY 1""")
 def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which part of the 20 most frequent words of the first 50 messages the last message holds."""
+    """Which part of the 20 most frequent words of the first 50 messages, those seen first among equals, the last message holds."""
     rows = table(spark, sf_dir, "conversations")
-    words = rows.where("turn < 50").select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).groupBy("conv_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    top = words.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "word"))).where("rank <= 20")
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("rank <= 50")
+    words = first.select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0))).alias("k", "word"))
+    counts = words.groupBy("conv_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("turn", "k")).alias("seen"))
+    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "seen"))).where("rank <= 20")
     digest = rows.where("text IS NOT NULL").groupBy("conv_id").agg(F.max_by(F.lower("text"), "turn").alias("digest"))
     return top.join(digest, "conv_id").groupBy("conv_id").agg(F.round(F.avg(F.contains("digest", "word").cast("int")), 6).alias("coverage"))

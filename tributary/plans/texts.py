@@ -107,10 +107,14 @@ _NORMALISER = ", ".join(f"'{t}'" for t in urls.NORMALISER_TRACKING)
 _PARTS = r"""u AS (SELECT page_id, url, lower(regexp_extract(url, '^([^:/?#]+)://', 1)) AS s, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS p0,
     CASE WHEN length(p0) > 1 THEN rtrim(p0, '/') ELSE p0 END AS p,
     list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]*=.')) AS q, regexp_extract(url, '(#.*)$', 1) AS f, regexp_extract(url, '^([^?#]*)', 1) AS base FROM pages)"""
+#: Parameters by decoded name, in their order within one, encoded anew.
+_CODE = "replace(url_encode(url_decode(replace({}, '+', ' '))), '%20', '+')"
+_SORTED = """list_transform(list_sort(list_transform(list_filter({}, lambda x: {}), lambda x, i: {{'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'i': i, 'p': x}})),
+    lambda e: """ + _CODE.format("split_part(e.p, '=', 1)") + " || '=' || " + _CODE.format("substr(e.p, strpos(e.p, '=') + 1)") + ")"
 _JOIN = "CASE WHEN len({0}) > 0 THEN '?' || array_to_string({0}, '&') ELSE '' END"
 
 
-@query(rf"""WITH {_PARTS}, k AS (SELECT *, list_sort(list_filter(q, lambda x: NOT regexp_matches(lower(split_part(x, '=', 1)), '{"|".join(urls.TRACKING)}'))) AS a FROM u),
+@query(rf"""WITH {_PARTS}, k AS (SELECT *, {_SORTED.format("q", f"NOT regexp_matches(lower(split_part(x, '=', 1)), '{'|'.join(urls.TRACKING)}')")} AS a FROM u),
     c AS (SELECT page_id, h, s || '://' || regexp_replace(h, CASE WHEN s = 'http' THEN ':80$' ELSE ':443$' END, '') || p || {_JOIN.format('a')} AS canonical FROM k)
     SELECT page_id, h AS host, canonical, sha256(canonical) AS hash FROM c""")
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +123,7 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.host(u).alias("host"), urls.canonical(u).alias("canonical"), urls.url_hash(u).alias("hash"))
 
 
-@query(rf"""WITH {_PARTS}, k AS (SELECT *, list_filter(q, lambda x: lower(split_part(x, '=', 1)) NOT IN ({_TRACK})) AS a, list_sort(list_filter(q, lambda x: split_part(x, '=', 1) NOT IN ({_NORMALISER}))) AS b,
+@query(rf"""WITH {_PARTS}, k AS (SELECT *, list_filter(q, lambda x: lower(split_part(x, '=', 1)) NOT IN ({_TRACK})) AS a, {_SORTED.format("q", f"split_part(x, '=', 1) NOT IN ({_NORMALISER})")} AS b,
     list_sort(list_filter(string_split(regexp_extract(lower(url), '\?([^#]*)', 1), '&'), lambda x: x <> '')) AS c FROM u)
     SELECT page_id, s || '://' || regexp_replace(h, '^(m|amp)\.', '') || p || {_JOIN.format('b')} AS normalised, CASE WHEN length(base || {_JOIN.format('a')} || f) <= 2048 THEN base || {_JOIN.format('a')} || f END AS cleaned, lower(base) || {_JOIN.format('c')} AS crawl_key FROM k""")
 def url_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,14 +150,14 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("v", F.lit(0)), 6).alias("first"), F.size("v").alias("n"))
 
 
-@query("""WITH f AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'TimeoutError' WHEN 1 THEN 'ValueError' ELSE 'RuntimeError' END AS kind,
+@query("""WITH f AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'TimeoutError' WHEN 1 THEN 'ValueError' WHEN 2 THEN 'JSONDecodeError' WHEN 3 THEN 'ConnectionResetError' ELSE 'RuntimeError' END AS kind,
     CASE WHEN event_type = 'error' THEN 429 WHEN event_type = 'view' THEN 400 + (event_id % 3)::INT * 100 END AS status, CASE WHEN event_type = 'click' THEN 'Quota Exceeded' ELSE event_type END AS message FROM events)
-    SELECT event_id, CASE WHEN kind = 'TimeoutError' THEN 'retryable_network' WHEN status = 429 THEN 'retryable_rate_limit' WHEN status BETWEEN 500 AND 599 THEN 'retryable_server_error'
-    WHEN status BETWEEN 400 AND 499 THEN 'non_retryable_validation' WHEN message = 'Quota Exceeded' THEN 'non_retryable_quota' WHEN kind = 'ValueError' THEN 'non_retryable_validation' ELSE 'retryable_network' END AS class FROM f""")
+    SELECT event_id, CASE WHEN kind IN ('TimeoutError', 'ConnectionResetError') THEN 'retryable_network' WHEN status = 429 THEN 'retryable_rate_limit' WHEN status BETWEEN 500 AND 599 THEN 'retryable_server_error'
+    WHEN status BETWEEN 400 AND 499 THEN 'non_retryable_validation' WHEN message = 'Quota Exceeded' THEN 'non_retryable_quota' WHEN kind IN ('ValueError', 'JSONDecodeError') THEN 'non_retryable_validation' ELSE 'retryable_network' END AS class FROM f""")
 def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """every event as a failure with an exception's name, a status or none, and a text."""
     nth = F.col("event_id") % 7
-    kind = F.when(nth == 0, "TimeoutError").when(nth == 1, "ValueError").otherwise("RuntimeError")
+    kind = F.when(nth == 0, "TimeoutError").when(nth == 1, "ValueError").when(nth == 2, "JSONDecodeError").when(nth == 3, "ConnectionResetError").otherwise("RuntimeError")
     status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "view", 400 + (F.col("event_id") % 3).cast("int") * 100)
     message = F.when(F.col("event_type") == "click", "Quota Exceeded").otherwise(F.col("event_type"))
     return table(spark, sf_dir, "events").select("event_id", values.error_class(kind, status, message).alias("class"))
