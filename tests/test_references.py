@@ -85,3 +85,43 @@ def test_a_soft_match_ends_the_search_before_a_harder_one(spark):
     df = spark.createDataFrame([(1, t, datetime(2024, 1, 1, 0, t), x) for t, x in rows], "group_id long, turn long, posted_at timestamp_ntz, content string")
     got = {r.turn: (r.duplicate_of, r.soft_link) for r in conversation.near_duplicates(df).collect()}
     assert got == {0: (None, None), 1: (None, None), 2: (None, 1)}
+
+
+def context_messages(spark, rows):
+    from tributary.operators import context
+
+    start = datetime(2025, 1, 1)
+    schema = f"group_id string, id string, username string, content string, posted_at timestamp_ntz, media array<{context.MEDIA}>"
+    return context.enriched(spark.createDataFrame([("t", i, u, c, start + timedelta(minutes=m), media) for i, u, c, m, media in rows], schema))
+
+
+def test_media_of_a_group_as_in_the_reference(spark):
+    from tributary.operators import context
+
+    item = lambda **x: tuple(x.get(k) for k in ("id", "kind", "mime_type", "hint", "description", "labels", "ocr_text"))
+    rows = [("1", "alice", "", 0, [item(id="sha1", kind="image", description="Фото прототипа")]), ("2", "bob", "", 10, [item(id="sha2", kind="document")])]
+    df = context_messages(spark, rows)
+    first, second = df.orderBy("id").collect()
+    assert first.content == "Вложения: image: Фото прототипа" and second.media[0].description == "Document без подписи"
+    stats = context.media_stats(df).first()
+    assert (stats.media_total, stats.media_messages, stats.media_with_description, stats.media_kinds) == (2, 2, 2, {"image": 1, "document": 1})
+    alice = context.participant_stats(df).where("username = 'alice'").first()
+    assert (alice.media_count, alice.media_samples) == (1, ["Фото прототипа"])
+    best = context.media_highlights(df.withColumn("score", F.lit(0.5))).orderBy("rank").collect()
+    assert [r.id for r in best] == ["2", "1"]
+    odd = context_messages(spark, [("1", "a", "text ", 0, [item(mime_type="video/mp4", labels=["x", "y", "z", "w", "v", "u"]), item(hint="photo:9", ocr_text="seen"), item(), item(kind="audio")]), ("2", "a", None, 1, None)])
+    one, none = odd.orderBy("id").collect()
+    assert [(m.id, m.kind, m.description) for m in one.media] == [("0", "video", "x, y, z"), ("photo:9", "image", "seen"), ("2", "unknown", "Unknown без подписи"), ("3", "audio", "Audio без подписи")]
+    assert one.content == "text\nВложения: video: x, y, z; image: seen; unknown: Unknown без подписи" and len(one.media[0].labels) == 5 and none.content == "" and none.media == []
+
+
+def test_topics_of_a_group_as_in_the_reference(spark):
+    from tributary.operators import context
+
+    rows = [("1", "alice", "Готовим презентацию проекта граффити на городской выставке. Граффити макет", 0, None), ("2", "bob", "Нужно согласовать бюджет и безопасность для выставки граффити.", 5, None), ("3", "bob", "только разные слова", 6, None)]
+    marked = spark.createDataFrame([("t", "Макет граффити", ["art"])], "group_id string, description string, labels array<string>")
+    [topic] = context.keyword_topics(context_messages(spark, rows), marked, 2).collect()
+    assert (topic.title, topic.priority, topic.msg_count, topic.owners, topic.media_refs) == ("Граффити", "high", 2, "alice, bob", 1) and topic.summary.startswith("Готовим")
+    [lone] = context.keyword_topics(context_messages(spark, [("1", "", "первый второй", 0, None)])).collect()
+    assert (lone.keyword, lone.owners, lone.media_refs) == ("первый", context.EVERYONE, 0)
+    assert context.keyword_topics(context_messages(spark, [("1", "a", "", 0, None)])).count() == 0
