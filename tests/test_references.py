@@ -125,3 +125,39 @@ def test_topics_of_a_group_as_in_the_reference(spark):
     [lone] = context.keyword_topics(context_messages(spark, [("1", "", "первый второй", 0, None)])).collect()
     assert (lone.keyword, lone.owners, lone.media_refs) == ("первый", context.EVERYONE, 0)
     assert context.keyword_topics(context_messages(spark, [("1", "a", "", 0, None)])).count() == 0
+
+
+def looped_groups(order, near, neighbours):
+    """Heads in order take their nearest that are not taken; near: (a, b) -> similarity, both ways."""
+    done, out = set(), {}
+    for head in order:
+        if head in done:
+            continue
+        closest = sorted(((-s, b) for (a, b), s in near.items() if a == head))[:neighbours]
+        out[head] = head
+        for _, b in closest:
+            if b in order and b not in done and b != head:
+                out[b] = head
+                done.add(b)
+        done.add(head)
+    return out
+
+
+def test_groups_equal_a_loop(spark):
+    from tributary.operators import vectors
+
+    rng = random.Random(12)
+    for n, links, neighbours in ((60, 150, 4), (80, 90, 50), (30, 300, 7)):
+        pairs = {tuple(sorted(rng.sample(range(n), 2))): round(rng.random(), 3) for _ in range(links)}
+        order = rng.sample(range(n), n * 3 // 4)
+        nodes = spark.createDataFrame([(i, k, rng.randint(0, 3)) for k, i in enumerate(order)], "id long, place long, frequency long")
+        near = spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "a long, b long, similarity double")
+        both = pairs | {(b, a): s for (a, b), s in pairs.items()}
+        groups = vectors.greedy_groups(nodes, near, neighbours)
+        expected = looped_groups(order, both, neighbours)
+        assert {r.id: r.head for r in groups.collect()} == expected
+        sizes = {h: [i for i in expected if expected[i] == h] for h in set(expected.values())}
+        big = [h for h in order if len(sizes.get(h, [])) > 1][:3]
+        frequency = {r.id: (r.frequency, -r.place) for r in nodes.collect()}
+        found = {r.cluster: (r.representative, r.members) for r in vectors.represented(groups, nodes, 3).collect()}
+        assert found == {h: (max(sizes[h], key=frequency.get), sorted(sizes[h])) for h in big}

@@ -114,3 +114,45 @@ def greedy_clusters(rows: DataFrame, threshold: float, block_vectors: int = BLOC
     first = stash(first, "firsts")
     least = near.join(first.selectExpr("id AS a"), "a").join(first.selectExpr("id AS b"), "b", "left_anti").groupBy("b").agg(F.min("a").alias("cluster"))
     return first.selectExpr("id", "id AS cluster").unionByName(least.selectExpr("b AS id", "cluster"))
+
+
+def greedy_groups(nodes: DataFrame, near: DataFrame, neighbours: int) -> DataFrame:
+    """(id, head, similarity) of nodes (id, place): in order of place, a node that is not taken yet heads a group and takes
+    those of its `neighbours` nearest (near: a, b, similarity, each pair once) that are not taken. (D13, D14)
+
+    What a later head would take of earlier nodes is settled already, so links lead from an earlier to a later place. Settled in
+    rounds: a node without a link from an undecided or heading node is a head; one with a link from a head is
+    taken, in the end by its first. Heads are their own, with similarity 1; near may name other ids, which count as neighbours.
+    """
+    both = near.select("a", "b", "similarity").unionByName(near.selectExpr("b AS a", "a AS b", "similarity"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
+    closest = both.withColumn("rank", rank).where(F.col("rank") <= neighbours)
+    nodes = stash(nodes.select("id", "place"), "nodes")
+    places = closest.join(nodes.selectExpr("id AS a", "place AS p"), "a").join(nodes.selectExpr("id AS b", "place AS q"), "b")
+    links = all_links = stash(places.where("p < q").select("a", "b", "p", "similarity"), "links")
+    heads, rest = None, nodes.select("id")
+    while True:
+        first = stash(rest.join(links.selectExpr("b AS id"), "id", "left_anti"), "heads")
+        heads = first if heads is None else stash(heads.unionByName(first), "heads")
+        taken = stash(all_links.join(first.selectExpr("id AS a"), "a", "left_semi").selectExpr("b AS id").distinct().join(rest, "id", "left_semi"), "taken")
+        rest = stash(rest.join(first.unionByName(taken), "id", "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+        links = stash(links.join(taken.selectExpr("id AS a"), "a", "left_anti").join(rest.selectExpr("id AS b"), "b", "left_semi"), "links")
+    own = all_links.join(heads.selectExpr("id AS a"), "a").join(heads.selectExpr("id AS b"), "b", "left_anti")
+    best = own.groupBy("b").agg(F.min_by(F.struct("a", "similarity"), "p").alias("m"))
+    return heads.select("id", F.col("id").alias("head"), F.lit(1.0).alias("similarity")).unionByName(best.selectExpr("b AS id", "m.a AS head", "m.similarity AS similarity"))
+
+
+def represented(groups: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """(cluster, representative, size, members, avg_similarity) of groups with two or more, the first `most` in order of their heads:
+    the representative has the greatest `frequency` of nodes (id, place, frequency), the first among equals. (D14)"""
+    rows = groups.join(nodes.select("id", "place", "frequency"), "id")
+    sums = F.sum(F.when(F.col("id") != F.col("head"), F.col("similarity")).otherwise(0.0)) / F.count(F.lit(1))
+    order = F.struct(F.coalesce("frequency", F.lit(0)), -F.col("place"))
+    found = rows.groupBy("head").agg(F.max_by("id", order).alias("representative"), F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("id")).alias("members"), sums.alias("avg_similarity"), F.min("place").alias("place"))
+    found = found.where("size > 1")
+    if most is None:
+        # Without a bound there is no need to number all clusters in one task.
+        return found.select(F.col("head").alias("cluster"), "representative", "size", "members", "avg_similarity")
+    return found.orderBy("place").limit(most).select(F.col("head").alias("cluster"), "representative", "size", "members", "avg_similarity")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,45 @@ def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.greedy_clusters(_vectors(spark, sf_dir), 0.3)
 
 
+def _groups_sql(threshold: float, neighbours: int, listed: str) -> str:
+    """Groups by going through the vectors from the greatest id down, one by one."""
+    return f"""RECURSIVE {_ALL_PAIRS}, near AS (SELECT a, b, similarity FROM pairs WHERE similarity >= {threshold} UNION ALL SELECT b, a, similarity FROM pairs WHERE similarity >= {threshold}),
+    top AS (SELECT a, list(b ORDER BY similarity DESC, b) AS l FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= {neighbours}) GROUP BY a),
+    o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id DESC) AS place FROM embeddings WHERE {listed}),
+    given AS (SELECT list(id) AS ids FROM o),
+    n AS (SELECT id, place, list_filter(coalesce(l, []), lambda x: list_contains(ids, x)) AS l FROM o CROSS JOIN given LEFT JOIN top ON a = id),
+    r(place, done, head, members) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, []::BIGINT[]
+        UNION ALL SELECT place, CASE WHEN taken THEN done ELSE list_concat(done, list_concat([id], fresh)) END, CASE WHEN NOT taken THEN id END, fresh
+        FROM (SELECT n.place, n.id, r.done, list_contains(r.done, n.id) AS taken, list_filter(n.l, lambda x: NOT list_contains(r.done, x) AND x <> n.id) AS fresh FROM r JOIN n ON n.place = r.place + 1)),
+    g AS (SELECT head, place, list_sort(list_concat([head], members)) AS members FROM r WHERE head IS NOT NULL AND len(members) > 0)"""
+
+
+@query(f"""WITH {_groups_sql(0.3, 50, "true")}, m AS (SELECT head, place, members, unnest(members) AS id FROM g)
+    SELECT head AS cluster, arg_max(id, (id * 7919 % 101, id)) AS representative, count(*) AS size, array_to_string(members, ',') AS members, round(coalesce(sum(similarity), 0) / count(*), 6) AS avg_similarity
+    FROM m LEFT JOIN near ON a = head AND b = id WHERE head IN (SELECT head FROM g ORDER BY place LIMIT 25) GROUP BY head, members""")
+def trend_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy clusters, newest first, of the 50 nearest; the first 25, each with its most frequent member."""
+    rows = _vectors(spark, sf_dir)
+    nodes = rows.select("id", (-F.col("id")).alias("place"), (F.col("id") * 7919 % 101).alias("frequency"))
+    groups = vectors.greedy_groups(nodes, vectors.all_near_pairs(rows, _below(0.3)), 50)
+    found = vectors.represented(groups, nodes, 25)
+    return found.select("cluster", "representative", "size", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), F.round("avg_similarity", 6).alias("avg_similarity"))
+
+
+@query(f"""WITH {_groups_sql(0.3, 20, "vec_id % 3 = 1")} SELECT head AS cluster, array_to_string(members, ',') AS members FROM g""")
+def related_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of two or more within a given list, of the 20 nearest among all."""
+    rows = _vectors(spark, sf_dir)
+    nodes = rows.where("id % 3 = 1").select("id", (-F.col("id")).alias("place"), F.lit(0).alias("frequency"))
+    groups = vectors.greedy_groups(nodes, vectors.all_near_pairs(rows, _below(0.3)), 20)
+    return vectors.represented(groups, nodes).select("cluster", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+def _below(threshold: float) -> float:
+    """So that pairs over it are those at the threshold or over."""
+    return float(np.nextafter(threshold, -1))
+
+
 @query("""WITH v AS (SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ',') || ']' AS t FROM embeddings) SELECT vec_id, t AS codec, len(t)::INT AS n FROM v""")
 def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F56."""
