@@ -69,3 +69,11 @@ def test_times_and_variants(spark, of):
     assert variant("t", 0.1, forced={"t": "new"}) == "new" and variant("t", 0.9, excluded=["t"]) == variant("t", 0.9, enabled=False) == variant(None, 0.9) == "control"
     assert of(plain.retry_delay, 10.0, 0.5) == 10.0 and of(plain.retry_delay, 100.0, 0.0) == 30.0
     assert of(plain.params_hash, "m", None, '{"a": 1}') == hashlib.sha256(b'm||{"a": 1}').hexdigest() and of(plain.params_hash, None, None, None) == hashlib.sha256(b"||{}").hexdigest()
+
+
+def test_urls_of_a_text(of):
+    from tributary.functions import urls
+
+    text = "[a](https://m.a.org/x/?b=2&utm_source=z&a=1) \"https://b.org/%D0%B0\" (https://c.org/) plain https://a.org/x?a=1&b=2, https://d.org/q! [rel](/path) https://d.org/q"
+    assert of(urls.extracted, text) == ["https://a.org/x?a=1&b=2", "/path", "https://b.org/а", "https://c.org/", 'https://b.org/а"', "https://d.org/q"]  # a bare url ends at white space, whatever its quotes
+    assert of(urls.extracted, None) == [] and of(urls.extracted, "none") == []

@@ -131,3 +131,18 @@ def test_albums_from_a_stream_in_several_batches(spark, tmp_path):
     found = found.select("album", "status", "analysed", F.floor((F.unix_seconds("at") - F.unix_seconds(F.expr("timestamp'2024-01-01 00:00:00'"))) / 3600).alias("h"), *[c.alias(n) for n, c in albums.vision_summary(F.col("items")).items()])
     got = {r.album: tuple(r)[1:] for r in found.collect()}
     assert got == {1: ("assembled", 2, 3, "d1 | d2", ["b", "a"], True, False), 2: ("assembled", 2, 43, "d1 | d2", ["b", "a"], True, False), 3: ("expired", 1, 29, "d1", ["b", "a"], False, False)}
+
+
+def test_failed_messages_come_again_and_end_as_dead_letters(spark, tmp_path):
+    from tributary.streaming.deliveries import Deliveries, published
+
+    rows = spark.createDataFrame([(i, f"m{i}") for i in range(6)], "id long, text string")
+    handle = lambda df: df.withColumns({"ok": F.col("deliveries") > F.col("id"), "reason": F.lit("late"), "details": F.lit("x")})
+    sink = Deliveries(str(tmp_path / "out"), rows.schema, handle, 3)
+    for k in (0, 1, 1, 2, 3):  # one batch twice
+        sink(rows.where("id < 3") if k == 0 else rows.where("id = 5") if k == 1 else rows.limit(0), k)
+    assert {r.id: r.deliveries for r in sink.done(spark).collect()} == {0: 1, 1: 2, 2: 3}
+    [dead] = sink.dead_letters(spark).collect()
+    assert (dead.payload, dead.reason, dead.deliveries, dead.epoch) == ('{"id":5,"text":"m5"}', "late", 3, 3)
+    published(rows, str(tmp_path / "stream"), 2)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "stream")).collect()) == [4, 5]

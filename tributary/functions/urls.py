@@ -111,3 +111,19 @@ def links(text: Column) -> Column:
     """Urls in the text in order, each once."""
     found = F.regexp_extract_all(text, F.lit(r"""https?://[^\s<>"')\]]+"""), F.lit(0))
     return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")))
+
+
+def extracted(text: Column) -> Column:
+    """Urls of a text, normalised, each once: of markdown links, in quotes, in round brackets, then bare ones without signs at
+    their end; percent escapes are decoded first. (F34)"""
+    bare = F.transform(F.regexp_extract_all(text, F.lit(r"https?://[^\s)\]]+"), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
+    found = F.concat(
+        F.regexp_extract_all(text, F.lit(r"\[[^\]]+\]\(([^)]+)\)"), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(r"""["'](https?://[^"']+)["']"""), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(r"\((https?://[^)]+)\)"), F.lit(1)),
+        bare,
+    )
+    # Plus signs are letters here.
+    decoded = F.transform(found, lambda u: F.coalesce(F.try_url_decode(F.replace(u, F.lit("+"), F.lit("%2B"))), u))
+    whole = lambda u: F.when(u.contains("://"), normalised(u)).otherwise(u)
+    return F.coalesce(F.filter(F.array_distinct(F.transform(decoded, whole)), lambda u: u != ""), F.array().cast("array<string>"))
