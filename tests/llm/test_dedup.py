@@ -299,3 +299,22 @@ def test_pipeline_stages_on_odd_tables(spark, tiny):
             out = stage(spark, docs, tiny)
             assert out.columns == odd.columns and all(r.kept == 1 and r.whole == 5 for r in out.collect())
         assert corpus_pipeline.STAGES[-1][1](spark, docs, tiny).count() == docs.count()
+
+
+def test_rows_of_one_id_with_other_texts_are_kept_apart(spark):
+    rng = random.Random(21)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage, own = prose(80), prose(200)
+    first = f"{prose(30)} {passage} {prose(30)}"
+    rows = [(1, first), (2, f"{prose(40)} {passage} {prose(20)}"), (2, own), (5, prose(90)), (6, prose(10)), (None, passage), (7, None)]
+    rows += [(6, rows[3][1]), (6, prose(300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS own")
+    left = substring_dedup.remove_passages(docs).collect()
+    assert sorted(left[0].asDict()) == ["doc_id", "own", "text"]
+    kept = {(r.doc_id, r.text) for r in left}
+    untouched = [r for k, r in enumerate(rows) if k not in (1, 7)]
+    assert set(untouched) <= kept and len(left) == len(untouched) + 1
+    (cut,) = kept - set(untouched)
+    assert cut[0] == 2 and len(cut[1].split()) <= 60 and not set(passage.split()[10:70]) & set(cut[1].split())
+    found = substring_dedup.find_passages(docs).collect()
+    assert {(r.doc_id, r.source_id) for r in found} == {(2, 1), (6, 5)} and found[0].asDict().keys() == {"doc_id", "source_id", "start_word", "end_word", "source_start"}
