@@ -38,8 +38,8 @@ def _album_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH e AS (SELECT l_orderkey AS album, l_shipdate AS t, l_linenumber AS post, 'part ' || lpad(l_partkey::VARCHAR, 9, '0') AS description, o_orderdate AS created, o_orderkey % 3 + 1 AS expected,
         row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, lpad(l_partkey::VARCHAR, 9, '0')) AS nth FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate),
     f AS (SELECT *, row_number() OVER w AS k, t - coalesce(lag(t) OVER w, created) >= INTERVAL {_TTL_HOURS} HOUR AS broken FROM e WHERE nth = 1 WINDOW w AS (PARTITION BY album ORDER BY t, post)),
-    g AS (SELECT * FROM (SELECT *, bool_or(broken) OVER (PARTITION BY album ORDER BY k) AS lost FROM f) WHERE NOT lost AND k <= expected),
-    a AS (SELECT o_orderkey AS album, o_orderkey % 3 + 1 AS expected, o_orderdate AS created, count(k) AS analysed, max(t) AS last_at, min(t) AS first_at, string_agg(description, ' | ' ORDER BY k) AS summary
+    g AS (SELECT *, row_number() OVER (PARTITION BY album, description ORDER BY k) = 1 AS fresh FROM (SELECT *, bool_or(broken) OVER (PARTITION BY album ORDER BY k) AS lost FROM f) WHERE NOT lost AND k <= expected),
+    a AS (SELECT o_orderkey AS album, o_orderkey % 3 + 1 AS expected, o_orderdate AS created, count(k) AS analysed, max(t) AS last_at, min(t) AS first_at, string_agg(description, ' | ' ORDER BY k) FILTER (fresh) AS summary
         FROM orders LEFT JOIN g ON album = o_orderkey GROUP BY ALL),
     w AS (SELECT greatest((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) AS now)
     SELECT album, CASE WHEN analysed = expected THEN 'assembled' ELSE 'expired' END AS status, expected::INTEGER AS expected, analysed::INTEGER AS analysed,
