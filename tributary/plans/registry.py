@@ -33,7 +33,7 @@ def _load() -> None:
         import_module(f"tributary.plans.{module}")
 
 
-MODULES = ["trends", "relational", "texts", "vectors", "graphs", "conversations", "upserts", "streams", "records", "history", "state", "collections", "messages", "stores", "small", "feed", "merges"]
+MODULES = ["trends", "relational", "texts", "vectors", "graphs", "conversations", "upserts", "streams", "records", "history", "state", "collections", "messages", "stores", "small", "feed", "merges", "scans"]
 
 
 def queries() -> dict[str, Query]:
