@@ -181,3 +181,44 @@ def test_a_soft_link_ends_the_search(spark):
     got = {r.turn: (r.duplicate_of, r.soft_link) for r in near_duplicates(df).collect()}
     a, b = (bag_cosine(bag(rows[2][2]), bag(rows[k][2])) for k in (0, 1))
     assert (got[2] == (1, None)) if b >= HARD else (got[2] == (None, 1)) if b >= SOFT else a < SOFT or got[2][0] == 0
+
+
+def test_near_pairs_and_searches_of_blocks_keep_every_copy(spark, monkeypatch):
+    from functools import reduce
+
+    import numpy as np
+
+    from tributary.operators import vectors
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(150, 8)).astype(np.float32)
+    v[40:80] = v[3]
+    # In order: Python's own sum of floats corrects what is lost.
+    dot = lambda a, b: reduce(lambda t, p: t + float(p[0]) * float(p[1]), zip(a, b), 0.0)
+    cosine = lambda a, b: float(dot(a, b) / np.sqrt(dot(a, a) * dot(b, b)))
+    s = [[cosine(a, b) for b in v] for a in v]
+    rows = spark.createDataFrame([(i, x.tolist(), None if i == 9 else i % 3) for i, x in enumerate(v)], "id long, v array<float>, label int")
+    for block in (20, 1000):
+        monkeypatch.setattr(vectors, "BLOCK_VECTORS", block)
+        monkeypatch.setattr(vectors, "MOST_BLOCK_VECTORS", 3 * block)
+        monkeypatch.setattr(vectors, "_STRIP", block // 2)
+        got = {(r.a, r.b, r.label, r.similarity) for r in vectors.near_pairs(rows, "label", 0.3).collect()}
+        assert got == {(a, b, a % 3, s[a][b]) for a in range(150) for b in range(a + 1, 150) if a % 3 == b % 3 and 9 not in (a, b) and s[a][b] > 0.3}
+        for at_least in (-1.0, 0.4):
+            found = vectors.search(rows.where("id % 10 = 3").selectExpr("id AS query_id", "v AS q"), rows, 5, at_least).collect()
+            best = lambda q: sorted((i for i in range(150) if i != q and s[q][i] >= at_least), key=lambda i: (-s[q][i], i))[:5]
+            assert sorted((r.query_id, r["rank"], r.id, r.similarity) for r in found) == sorted((q, k + 1, i, s[q][i]) for q in range(3, 150, 10) for k, i in enumerate(best(q)))
+
+
+def test_a_node_is_written_with_its_nearest_only(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tributary.operators import vectors
+
+    v = np.random.default_rng(8).normal(size=(80, 4)) + 2
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    nodes = rows.where("id % 2 = 0").select("id", (-F.col("id")).alias("place"))
+    expected = {tuple(r) for r in vectors.greedy_groups(nodes, vectors.all_near_pairs(rows, 0.3), 3).collect()}
+    monkeypatch.setattr(vectors, "all_near_pairs", None)
+    assert {tuple(r) for r in vectors.nearest_groups(nodes, rows, 0.3, 3).collect()} == expected
