@@ -222,3 +222,15 @@ def test_a_node_is_written_with_its_nearest_only(spark, monkeypatch):
     expected = {tuple(r) for r in vectors.greedy_groups(nodes, vectors.all_near_pairs(rows, 0.3), 3).collect()}
     monkeypatch.setattr(vectors, "all_near_pairs", None)
     assert {tuple(r) for r in vectors.nearest_groups(nodes, rows, 0.3, 3).collect()} == expected
+
+
+def test_vector_texts_round_exact_halves_to_even(spark, tmp_path):
+    import duckdb
+
+    from tributary.plans.vectors import vector_codec
+
+    rows = [(1, [2.0**-7, 3 * 2.0**-7, -(2.0**-7), 0.1, -1e-9, 0.0, 1e6 + 2.0**-7]), (2, [float(k) * 2.0**-7 for k in range(200)]), (3, []), (4, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r.codec for r in vector_codec(spark, str(tmp_path)).collect()}
+    texts = {i: ",".join(duckdb.execute("SELECT printf('%.6f', ?::DOUBLE)", [x]).fetchone()[0] for x in v) for i, v in rows if v is not None}
+    assert got == {i: f"[{t}]" for i, t in texts.items()} | {4: None} and got[1].startswith("[0.007812,0.023438,-0.007812,")
