@@ -48,6 +48,13 @@ def test_breaker_equals_a_loop_whatever_the_blocks(spark, block, throttled):
     assert {r.id: (automaton.SAID[r.said], r.now) for r in got} == looped_breaker(rows, 3, 20, throttled)
 
 
+def test_a_block_whose_rows_come_from_many_tasks_stays_in_order(spark):
+    rows = [("a", t, i, 1) for i, t in enumerate([5] * 64)]
+    df = spark.createDataFrame(rows, "key string, second long, id long, event int").repartition(8)
+    got = automaton.scan(df, "key", "second", "id", "event", automaton.circuit_breaker(3, 20), 60).collect()
+    assert {r.id: automaton.SAID[r.said] for r in got} == {i: "failure" if i < 3 else "rejected" for i in range(64)}
+
+
 def test_breaker_opens_after_five_failures_and_tries_again_after_a_minute(spark):
     calls = [(t, automaton.FAILURE) for t in range(5)] + [(30, 0), (63, 0), (64, 0), (65, 1)]
     df = spark.createDataFrame([("s", t, i, x) for i, (t, x) in enumerate(calls)], "key string, second long, id long, event int")

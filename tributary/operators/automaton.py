@@ -71,18 +71,20 @@ def _handed_out(machine: Automaton, length: int) -> Callable[[Iterator[pd.DataFr
 
 def _replayed(machine: Automaton, length: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state, last = None, 0, 0
+        state, last = machine.start, 0
         for pdf in batches:
             said, after = [], []
-            for key, block, second, event, begin in zip(pdf["key"], pdf["block"], pdf["second"], pdf["event"], pdf["begin"]):
-                if (key, block) != now:
-                    now, state, last = (key, block), begin, block * length
-                step, words = machine.react(event)
+            calls = pdf["begin"].isna().to_numpy()
+            for key, block, second, event, begin, call in zip(pdf["key"], pdf["block"], pdf["second"], pdf["event"], pdf["begin"], calls):
+                if not call:
+                    state, last = int(begin), block * length
+                    continue
+                step, words = machine.react(int(event))
                 state = int(machine.elapse(second - last)[state])
                 said.append(int(words[state]))
                 state, last = int(step[state]), second
                 after.append(state)
-            yield pdf[["key", "id"]].assign(said=said, state=after)
+            yield pdf[["key", "id"]][calls].assign(said=said, state=after)
 
     return run
 
@@ -99,7 +101,11 @@ def scan(rows: DataFrame, key: str, second: str, order: str, event: str, machine
     functions = ordered.mapInPandas(_composed(machine, block_seconds), f"key {kinds['key']}, block long, f array<int>")
     followed = functions.repartition("key").sortWithinPartitions("key", "block")
     begins = followed.mapInPandas(_handed_out(machine, block_seconds), f"key {kinds['key']}, block long, begin int")
-    again = blocks.join(begins, ["key", "block"]).repartition("key", "block").sortWithinPartitions("key", "block", "second", "id")
+    # A block's first state is a row of its own, before its events. After a join by key and block Spark leaves out a
+    # repartition by the same columns, and where it then makes the join by broadcast, a block's rows lie in many tasks.
+    first = begins.withColumns({"second": F.col("block") * block_seconds, "id": F.lit(0).cast(kinds["id"]), "event": F.lit(0)})
+    both = blocks.withColumn("begin", F.lit(None).cast("int")).unionByName(first)
+    again = both.repartition("key", "block").sortWithinPartitions("key", "block", F.col("begin").isNull(), "second", "id")
     return again.mapInPandas(_replayed(machine, block_seconds), f"key {kinds['key']}, id {kinds['id']}, said int, state int")
 
 
