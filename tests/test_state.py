@@ -153,3 +153,22 @@ def test_failed_messages_come_again_and_end_as_dead_letters(spark, tmp_path):
     assert (dead.payload, dead.reason, dead.deliveries, dead.epoch) == ('{"id":5,"text":"m5"}', "late", 3, 3)
     published(rows, str(tmp_path / "stream"), 2)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "stream")).collect()) == [4, 5]
+
+
+def test_an_album_that_ends_in_its_batch_reads_its_state_once():
+    from pyspark.sql import Row
+
+    class Handle:
+        def __init__(self):
+            self.calls = []
+
+        def __getattr__(self, name):
+            return lambda *a: self.calls.append(name) or (self if name == "getValueState" else None)
+
+    handle, assembler = Handle(), albums.Assembler(10)
+    assembler.init(handle)
+    handle.calls.clear()
+    post = lambda i: Row(album=1, micros=i, kind="analysis", post=i, expected=None, description=f"d{i}", labels=[], is_meme=False, has_text=False)
+    album = Row(album=1, micros=0, kind="album", post=None, expected=2, description=None, labels=None, is_meme=None, has_text=None)
+    found = list(assembler.handleInputRows((1,), iter([post(2), post(1), album, post(3)]), None))
+    assert [(r.status, r.analysed, r.at) for r in found] == [("assembled", 2, 2)] and handle.calls == ["get"]

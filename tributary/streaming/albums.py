@@ -22,6 +22,7 @@ DESCRIPTIONS, LABELS = 5, 20
 EVENTS = "album long, at timestamp, kind string, post long, expected int, description string, labels array<string>, is_meme boolean, has_text boolean"
 #: Times are microseconds inside the state: a worker's zone does not matter.
 ITEM = "post long, at long, description string, labels array<string>, is_meme boolean, has_text boolean"
+STATE = f"expected int, written long, items array<struct<{ITEM.replace(' ', ': ').replace(',:', ',')}>>"
 FOUND = (
     "album long, status string, at long, expected int, analysed int, first_at long, last_at long, "
     "items array<struct<post: long, at: long, description: string, labels: array<string>, is_meme: boolean, has_text: boolean>>"
@@ -37,51 +38,46 @@ class Assembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.album = handle.getValueState("album", "expected int, written long")
-        self.posts = handle.getMapState("posts", "post long", "place int")
-        self.items = handle.getListState("items", ITEM)
+        # One value an album: every use of a state is a message to the JVM.
+        self.album = handle.getValueState("album", STATE)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        ordered = sorted(rows, key=lambda r: (r.micros, r.kind != "album", r.post or 0, r.description or ""))
-        for row in ordered:
-            held = self.album.get() if self.album.exists() else None
+        stored = self.album.get()
+        held = stored and [stored[0], stored[1], [tuple(i) for i in stored[2]]]
+        seen = {i[0] for i in held[2]} if held else set()
+        for row in sorted(rows, key=lambda r: (r.micros, r.kind != "album", r.post or 0, r.description or "")):
             if held and row.micros - held[1] >= self.ttl:
-                yield self._close(key, held, "expired", held[1] + self.ttl)
+                yield self._found(key, held, "expired", held[1] + self.ttl)
                 held = None
             if row.kind == "album":
-                self._clear()
-                self._write(row.expected, row.micros)
-            elif held and not self.posts.containsKey((row.post,)):
-                self.posts.updateValue((row.post,), (0,))
-                self.items.appendValue(tuple(row.micros if n == "at" else row[n] for n in _NAMES))
-                self._write(held[0], row.micros)
-                if sum(1 for _ in self.posts.keys()) >= held[0]:
-                    yield self._close(key, held, "assembled", row.micros)
+                held, seen = [row.expected, row.micros, []], set()
+            elif held and row.post not in seen:
+                seen.add(row.post)
+                held[2].append(tuple(row.micros if n == "at" else row[n] for n in _NAMES))
+                held[1] = row.micros
+                if len(held[2]) >= held[0]:
+                    yield self._found(key, held, "assembled", row.micros)
+                    held = None
+        if stored:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if held:
+            self.album.update(tuple(held))
+            self.handle.registerTimer((held[1] + self.ttl) // 1000)
+        elif stored:
+            self.album.clear()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        held = self.album.get() if self.album.exists() else None
+        held = self.album.get()
         if held and (held[1] + self.ttl) // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-            yield self._close(key, held, "expired", held[1] + self.ttl)
+            self.album.clear()
+            yield self._found(key, held, "expired", held[1] + self.ttl)
 
     def close(self) -> None:
         pass
 
-    def _write(self, expected: int, at: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.album.update((expected, at))
-        self.handle.registerTimer((at + self.ttl) // 1000)
-
-    def _clear(self) -> None:
-        self.album.clear()
-        self.posts.clear()
-        self.items.clear()
-
-    def _close(self, key: Any, held: Any, status: str, at: int) -> Row:
-        items = [Row(**dict(zip(_NAMES, i))) for i in self.items.get()] if self.items.exists() else []
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self._clear()
+    def _found(self, key: Any, held: Any, status: str, at: int) -> Row:
+        items = [Row(**dict(zip(_NAMES, i))) for i in held[2]]
         times = [i.at for i in items]
         return Row(album=key[0], status=status, at=at, expected=held[0], analysed=len(items), first_at=min(times, default=None), last_at=max(times, default=None), items=items)
 
