@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .vectors import pair_blocks
+
 BITS = 64
+#: Hashes of one side that are compared with a block at once.
+_STRIP = 256
 
 
 def sign_hash(v: Column) -> Column:
@@ -18,21 +27,45 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _linked(scope: list[str], most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches))
+        low = (pdf["k"] == pdf["i"].iloc[0]).to_numpy()
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        (x, n_x), (y, n_y) = ((p["hash"].to_numpy(), p["n"].to_numpy()) for p in (pdf[low], pdf if same else pdf[~low]))
+        given = {c: pdf[c].iloc[0] for c in scope}
+        for s in range(0, len(x), _STRIP):
+            # Of a signed number numpy counts the bits of its absolute value.
+            distance = np.bitwise_count((x[s : s + _STRIP, None] ^ y[None, :]).view(np.uint64))
+            at, to = np.nonzero(distance <= most)
+            # Hashes of a scope are different, so of a pair within one block this is one of its two places.
+            kept = x[s + at] < y[to] if same else slice(None)
+            near = distance[at, to][kept]
+            at, to = s + at[kept], to[kept]
+            turned = x[at] > y[to]
+            yield pd.DataFrame({
+                **given, "a": np.where(turned, y[to], x[at]), "b": np.where(turned, x[at], y[to]), "distance": near.astype(np.int32),
+                "n_a": np.where(turned, n_y[to], n_x[at]), "n_b": np.where(turned, n_x[at], n_y[to]),
+            })
+
+    return run
+
+
 def near_hashes(rows: DataFrame, scope: list[str], most: int) -> DataFrame:
     """(*scope, a, b, distance, n_a, n_b) with a < b: different hashes of rows (*scope, hash) at most `most` bits apart, and how many rows have each.
 
-    Of most + 1 bands one is equal in both, so hashes meet by band and none is missed. Rows with one hash are
-    one before they meet, however many they are; rows without a hash are left out.
+    Every two blocks of a scope's hashes are compared by one task, a strip at a time: bands of so few bits as many
+    differing ones leave are shared by nearly all. Rows with one hash are one before they meet, however many they are;
+    rows without a hash or a scope are left out.
     """
-    counts = rows.where("hash IS NOT NULL").groupBy(*scope, "hash").agg(F.count(F.lit(1)).alias("n"))
-    edges = [BITS * k // (most + 1) for k in range(most + 2)]
-    band = lambda lo, hi: F.shiftrightunsigned("hash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < BITS else -1).cast("bigint"))
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), band(lo, hi).alias("value")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))])
-    keyed = counts.withColumn("band", F.explode(bands))
-    one = keyed.select(*scope, "band", F.col("hash").alias("a"), F.col("n").alias("n_a"))
-    other = keyed.select(*scope, "band", F.col("hash").alias("b"), F.col("n").alias("n_b"))
-    met = one.join(other, [*scope, "band"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= most)
-    return met.drop("band").distinct()
+    there = [F.col(c).isNotNull() for c in scope]
+    counts = rows.where("hash IS NOT NULL").where(reduce(lambda a, b: a & b, there, F.lit(True))).groupBy(*scope, "hash").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy(*scope).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    blocks = pair_blocks(groups[0] or 1, groups[1])
+    k = counts.withColumn("k", F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = k.select(*scope, "hash", "n", "k", F.least("k", "m").alias("i"), F.greatest("k", "m").alias("j"))
+    kinds = "".join(f"{c} {kind}, " for c, kind in counts.select(*scope).dtypes)
+    return met.groupBy("i", "j", *scope).applyInPandas(_linked(scope, most), f"{kinds}a long, b long, distance int, n_a long, n_b long")
 
 
 def reused(rows: DataFrame, results: DataFrame, scope: list[str]) -> DataFrame:
