@@ -224,9 +224,12 @@ def alert_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, c, s = (table(spark, sf_dir, x) for x in ("part", "customer", "supplier"))
     l = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select("l_partkey", "l_suppkey")
     t = l.join(p.where("p_size >= 45"), F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    pairs = t.select(F.col("p_brand").alias("trend"), F.col("s_nationkey").alias("c_nationkey")).distinct()
-    sent = p.join(c, p.p_partkey == c.c_custkey).select(F.col("p_brand").alias("trend"), "c_custkey")
-    return pairs.join(c.select("c_nationkey", "c_custkey"), "c_nationkey").select("trend", "c_custkey").distinct().join(sent, ["trend", "c_custkey"], "left_anti")
+    # Trends of a nation are one list, and so are those of a customer: what is many goes by customer, never by nation.
+    nations = t.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.collect_set("p_brand").alias("trends"))
+    due = c.select("c_nationkey", "c_custkey").distinct().join(F.broadcast(nations), "c_nationkey").groupBy("c_custkey").agg(F.array_distinct(F.flatten(F.collect_list("trends"))).alias("trends"))
+    sent = p.join(c, p.p_partkey == c.c_custkey).groupBy("c_custkey").agg(F.collect_set("p_brand").alias("sent"))
+    left = F.when(F.col("sent").isNull(), F.col("trends")).otherwise(F.array_except("trends", "sent"))
+    return due.join(sent, "c_custkey", "left").select(F.explode(left).alias("trend"), "c_custkey")
 
 
 @query("""SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_high, count(CASE WHEN value <= 1 THEN 1 END) AS n_low, min(ts) FILTER (value > 100) AS first_high, round(avg(value) FILTER (value > 50), 6) AS mean_high, round(avg(epoch_us(ts) % 1000000 / 1000.0), 3) AS mean_ms FROM events GROUP BY 1""")
