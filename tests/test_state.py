@@ -172,3 +172,31 @@ def test_an_album_that_ends_in_its_batch_reads_its_state_once():
     album = Row(album=1, micros=0, kind="album", post=None, expected=2, description=None, labels=None, is_meme=None, has_text=None)
     found = list(assembler.handleInputRows((1,), iter([post(2), post(1), album, post(3)]), None))
     assert [(r.status, r.analysed, r.at) for r in found] == [("assembled", 2, 2)] and handle.calls == ["get"]
+
+
+def test_idle_counts_give_back_a_batch_in_pieces_and_go_on_from_the_state(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(jobs, "HITS", 2)
+    taken = []
+
+    class Rows:
+        dtypes = [("k", "string")]
+        groupBy = lambda self, key: self
+        applyInPandasWithState = lambda self, run, *a: taken.append(run)
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+        setTimeoutTimestamp = lambda self, t: None
+        getCurrentWatermarkMs = lambda self: 0
+
+        def update(self, x):
+            self.exists, self.get = True, x
+
+    jobs.idle_counts(Rows(), "k", 10)
+    state = State()
+    hits = lambda *x: pd.DataFrame({"ts": pd.to_datetime([t for t, _ in x], unit="s"), "id": [i for _, i in x]})
+    first = list(taken[0](("a",), iter([hits((20, 3), (5, 2)), hits((0, 1))]), state))
+    assert [len(x) for x in first] == [2, 1] and pd.concat(first)[["id", "count"]].values.tolist() == [[1, 1], [2, 2], [3, 1]]
+    again = pd.concat(taken[0](("a",), iter([hits((12, 4), (29, 5), (39, 6))]), state))
+    assert again[["id", "count"]].values.tolist() == [[4, 2], [5, 3], [6, 1]] and state.get == (39_000_000, 1)
