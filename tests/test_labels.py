@@ -77,3 +77,21 @@ def test_urls_of_a_text(of):
     text = "[a](https://m.a.org/x/?b=2&utm_source=z&a=1) \"https://b.org/%D0%B0\" (https://c.org/) plain https://a.org/x?a=1&b=2, https://d.org/q! [rel](/path) https://d.org/q"
     assert of(urls.extracted, text) == ["https://a.org/x?a=1&b=2", "/path", "https://b.org/а", "https://c.org/", 'https://b.org/а"', "https://d.org/q"]  # a bare url ends at white space, whatever its quotes
     assert of(urls.extracted, None) == [] and of(urls.extracted, "none") == []
+
+
+def test_an_embedding_takes_the_head_of_a_text_of_white_space_and_letters(spark):
+    lead, gaps = " \t\n" * 3000, "ab  \n" * 3000
+    texts = [lead + "end ", gaps, "a" * 1999 + " \n b", "a" * 2000 + "\n b", " " + "x " * 1999 + "  ", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    no = F.lit(None).cast("string")
+    found = dict(df.select("k", labels.embedding_text(F.col("t"), no, no, no, no)).collect())
+    for k, t in enumerate(texts):
+        assert found[k] == " ".join(" ".join((t or "").split())[:2000].split()), k
+
+
+def test_what_a_lambda_uses_of_a_text_is_worked_out_once(spark):
+    df = spark.range(1).withColumn("text", F.concat(F.lit("one two One "), F.col("id").cast("string")))
+    for column, step in ((labels.first_by(F.split("text", " "), F.lower), "split("), (plain.content_type(F.col("text")), "lower(")):
+        plan = df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(step) == 1, plan
+    assert df.select(labels.first_by(F.split("text", " "), F.lower)).first()[0] == ["one", "two", "0"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,10 +22,14 @@ def _stop(stop: Iterable[str] | None) -> Column:
     return F.array(*[F.lit(w) for w in (texts.STOP_WORDS if stop is None else stop)]).cast("array<string>")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once for a row: what a lambda takes from outside is worked out anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_by(values: Column, key=lambda x: x) -> Column:
     """Values whose key did not come before, in order."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return once(values, lambda v: once(F.transform(v, key), lambda keys: F.filter(v, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def squeezed(text: Column) -> Column:
@@ -33,11 +37,17 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+def squeezed_head(text: Column, most: int) -> Column:
+    """The first `most` letters of `squeezed`. A stretch of the text that gives as many is enough, as it ends in no white
+    space then and what follows changes nothing before it; any other text is squeezed as a whole."""
+    return once(squeezed(F.substring(text, 1, 2 * most)), lambda head: F.substring(F.when(F.length(head) >= most, head).otherwise(squeezed(text)), 1, most))
+
+
 def embedding_text(post: Column, description: Column, seen: Column, page: Column, page_seen: Column) -> Column:
     """What is embedded of a post: its text, an image's description of five letters or more and text, a page's text and its image's text, each
     up to its cap, parts that repeat left out whatever their case, joined by a space; empty if all are. (F08)"""
     long_enough = F.when(F.length(F.trim(description)) >= LEAST_DESCRIPTION, description)
-    parts = F.array(*[F.substring(squeezed(c), 1, n) for c, n in ((post, POST), (long_enough, DESCRIPTION), (seen, SEEN), (page, PAGE), (page_seen, SEEN))])
+    parts = F.array(*[squeezed_head(c, n) for c, n in ((post, POST), (long_enough, DESCRIPTION), (seen, SEEN), (page, PAGE), (page_seen, SEEN))])
     return squeezed(F.array_join(first_by(F.filter(parts, lambda p: squeezed(p) != ""), lambda p: F.lower(squeezed(p))), " "))
 
 
