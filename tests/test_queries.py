@@ -67,6 +67,24 @@ def test_phones_are_masked(spark):
     assert found[0].startswith("call +79***89") and found[0].endswith("or [email masked]")
 
 
+@pytest.mark.parametrize("name", ["nfc", "mask_phone"])
+def test_python_holds_a_piece_of_a_batch_at_once(spark, name):
+    import unicodedata
+
+    import pyarrow as pa
+
+    from tributary.functions import text
+
+    texts = ["e\u0301 +7 (912) 345-67-89 " * 4000, None, "", "e\u0301", *["+79123456789 a " * 900] * 100, "end e\u0301"]
+    change = (lambda t: unicodedata.normalize("NFC", t)) if name == "nfc" else (lambda t: t.replace("+7 (912) 345-67-89 ", "+79***89").replace("+79123456789 ", "+79***89"))
+    expected = [t if t is None else change(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    assert [r.x for r in df.select("k", getattr(text, name)("t").alias("x")).orderBy("k").collect()] == expected
+    pieces = list(getattr(text, name).func(iter([pa.array(texts[:50]), pa.array([], pa.string()), pa.array(texts[50:])])))
+    assert [t for p in pieces for t in p.to_pylist()] == expected and len(pieces) > 3
+    assert all(len(p) == 1 or p.nbytes < 1.2 * text.PIECE for p in pieces)
+
+
 def test_upserts_are_idempotent(spark):
     from pyspark.sql import functions as F
 

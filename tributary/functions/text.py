@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,9 @@ STOP_WORDS = (
     "with from have just also about http https"
 ).split()
 
+#: Bytes of text that a function in Python changes at once.
+PIECE = 500_000
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of two or more Latin or Cyrillic letters or digits."""
@@ -40,16 +45,35 @@ def _mask(m: re.Match[str]) -> str:
     return f"+{digits[:2]}***{digits[-2:]}" if len(digits) >= 6 else "+***"
 
 
-@F.pandas_udf(T.StringType())
-def mask_phone(texts: pd.Series) -> pd.Series:
+def _pieces(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in lists of about PIECE bytes, one text at least."""
+    begin = held = 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)):
+        if held and held + n > PIECE:
+            yield texts.slice(begin, i - begin).to_pylist()
+            begin, held = i, 0
+        held += int(n) + 64
+    if begin < len(texts):
+        yield texts.slice(begin).to_pylist()
+
+
+def _each(texts: Iterator[pa.Array], change: Callable[[str], str]) -> Iterator[pa.Array]:
+    """Every text changed. Results go back by pieces, so that beside a batch only one piece is held."""
+    for batch in texts:
+        for piece in _pieces(batch):
+            yield pa.array([t if t is None else change(t) for t in piece], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def mask_phone(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Phone numbers but for their first and last two digits."""
     phone = re.compile(PHONE)
-    return texts.map(lambda t: t if t is None else phone.sub(_mask, t))
+    return _each(texts, lambda t: phone.sub(_mask, t))
 
 
-@F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+@F.arrow_udf(T.StringType())
+def nfc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _each(texts, lambda t: unicodedata.normalize("NFC", t))
 
 
 def clean_unicode(text: Column) -> Column:
