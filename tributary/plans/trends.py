@@ -51,8 +51,7 @@ def _idle_sql(seconds: int, name: str, source: str = "posts") -> str:
 def idle_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST02: counters of 5 minutes, an hour and a day whose life every hit renews."""
     rows = posts(spark, sf_dir).select("post_id", "topic", "posted_at")
-    for name, seconds in WINDOWS.items():
-        rows = windows.idle_count(rows, "topic", "posted_at", "post_id", seconds, f"freq_{name}")
+    rows = windows.idle_counts(rows, "topic", "posted_at", "post_id", {f"freq_{name}": seconds for name, seconds in WINDOWS.items()})
     return rows.drop("topic", "posted_at")
 
 
@@ -70,8 +69,7 @@ def idle_window_source_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = posts(spark, sf_dir).select("post_id", "topic", "channel_id", "posted_at")
-    for name, seconds in WINDOWS.items():
-        rows = windows.idle_count(rows, "topic", "posted_at", "post_id", seconds, f"freq_{name}")
+    rows = windows.idle_counts(rows, "topic", "posted_at", "post_id", {f"freq_{name}": seconds for name, seconds in WINDOWS.items()})
     rows = windows.idle_distinct(rows, "topic", "channel_id", "posted_at", "post_id", 86_400, "n_sources")
     expected = scoring.expected_baseline(F.col("freq_24h"), 300)
     rows = rows.withColumn("ratio", scoring.burst(F.col("freq_5m"), expected)).withColumn("roc", scoring.rate_of_change(F.col("freq_5m"), F.col("freq_1h")))
