@@ -1,5 +1,6 @@
 """Every query against its SQL, and those without against brute force or invariants."""
 
+import duckdb
 import pytest
 
 from tests.oracle import assert_same
@@ -85,6 +86,19 @@ def test_python_holds_a_piece_of_a_batch_at_once(spark, name):
     assert all(len(p) == 1 or p.nbytes < 1.2 * text.PIECE for p in pieces)
 
 
+def test_keywords_of_copies_and_of_texts_without_a_source(spark, tmp_path):
+    from tests.oracle import plain
+
+    rows = [(1, None, "alpha alpha bravo"), (1, None, "alpha delta"), (None, None, "bravo bravo"), (2, "s", " ".join(f"word{i:02}" for i in range(12)) * 2), (3, "s", "word05 Word05 zulu"), (3, "s", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["keyword_topics"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = con.execute(ORACLES["keyword_topics"]).fetchall()
+    key = lambda r: [plain(v) for v in r]
+    assert sorted(map(key, df.select("source", "word", "freq", "docs").collect())) == sorted(map(key, expected)) and len(expected) > 4
+
+
 def test_upserts_are_idempotent(spark):
     from pyspark.sql import functions as F
 

@@ -27,9 +27,12 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, word, freq, docs FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY freq DESC, word) <= 10""")
 def keyword_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most frequent keywords of a source, and in how many texts."""
-    per = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(text.keywords(F.col("text"))).alias("word")).groupBy("source", "word", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = per.groupBy("source", "word").agg(F.sum("n").alias("freq"), F.count(F.lit(1)).alias("docs")).where("freq >= 2")
-    return windows.ranked(counts, ["source"], F.desc("freq"), F.col("word")).where("rank <= 10").drop("rank")
+    words = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(text.keywords(F.col("text"))).alias("word"))
+    counts = words.groupBy("source", "word").agg(F.count(F.lit(1)).alias("freq")).where("freq >= 2")
+    # The rank does not ask for the number of texts, so texts are told apart for the ten words of a source alone.
+    top = windows.ranked(counts, ["source"], F.desc("freq"), F.col("word")).where("rank <= 10").drop("rank").withColumnRenamed("source", "of")
+    held = words.join(F.broadcast(top), words["source"].eqNullSafe(top["of"]) & (words["word"] == top["word"])).drop(top["word"])
+    return held.groupBy("source", "word", "freq").agg(F.countDistinct("doc_id").alias("docs"))
 
 
 @query(f"SELECT doc_id, regexp_replace(text, '{text.EMAIL}', '[email masked]', 'g') AS masked FROM documents")
