@@ -94,6 +94,37 @@ def test_large_group_of_near_copies_equals_brute_force(spark, monkeypatch, width
     assert opened and len(set(expected.values())) > 30
 
 
+def test_large_group_behind_a_common_passage_lays_out_few_shingles(spark, monkeypatch):
+    """Texts that share less than a link with their lead: shingles that no partner can have are not laid out."""
+    rng = random.Random(8)
+    line = prose(rng, 60)
+    rows = [(i, f"{line} {prose(rng, 40)}") for i in range(120)] + [(500, f"{line} x y z")] + [(501 + i, f"{line} x y z {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, lead, plain = [], 500, near_dedup.stash
+    monkeypatch.setattr(near_dedup, "stash", lambda df, label: (out := plain(df, label), made.append((label, out.count())))[0])
+    sketches = docs.mapInArrow(near_dedup._sketches(3), "doc_id long, n_shingles long, same long, registers binary")
+    full = docs.mapInArrow(near_dedup._full(3), "doc_id long, found binary")
+    found = near_dedup._Links(sketches, full, spark.createDataFrame([], "a long, b long"), 85)
+    group = sketches.selectExpr("1L AS key", "doc_id", "n_shingles AS n", f"{lead}L AS lead")
+    groups, pairs = near_dedup._open(found, near_dedup._related(found, group), 85)
+    links = {i for pair in pairs.collect() for i in pair} | {r.doc_id for r in groups.collect()}
+    assert links == {501 + i for i in range(30)}
+    whole = sum(len(s - sets(rows, 3)[lead]) for i, s in sets(rows, 3).items() if i != lead)
+    assert sum(n for label, n in made if label in ("heads", "laid")) < whole / 2
+
+
+def test_ranges_of_sizes_that_stand_alone_make_one_group(spark):
+    found = near_dedup._Links(spark.createDataFrame([], "doc_id long"), None, spark.createDataFrame([], "a long, b long"), 85)
+    sizes = {1: 100, 2: 101, 3: 300, 4: 340, 5: 400, 6: 1000}
+    rows = spark.createDataFrame([(7, i, n) for i, n in sizes.items()], "key long, doc_id long, n long")
+    groups = defaultdict(set)
+    for r in near_dedup._by_lead(found, rows, 85).collect():
+        groups[r.key].add(r.doc_id)
+    assert all(any({a, b} <= g for g in groups.values()) for a, b in ((1, 2), (3, 4), (4, 5)))
+    assert sum(map(len, groups.values())) < 2 * len(sizes) and set().union(*groups.values()) == set(sizes)
+    assert not any(g < h for g in groups.values() for h in groups.values())
+
+
 def test_near_duplicates_of_repeated_ids_long_texts_and_string_ids(spark):
     long = prose(random.Random(1), 30_000)
     rows = [("b", "x y z " * 5), ("a", long), ("a", "other text of the same id"), ("c", long + " end"), ("d", "OTHER text of the same id"), ("e", None)]

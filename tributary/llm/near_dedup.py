@@ -204,8 +204,12 @@ class _Links:
         if links.isEmpty():
             return
         ends = self.labelled(links.select(F.col("a").alias("doc_id"), "b")).select(F.col("c").alias("a"), F.col("b").alias("doc_id"))
-        ends = self.labelled(ends).select("a", F.col("c").alias("b"))
+        ends = stash(self.labelled(ends).select("a", F.col("c").alias("b")).where("a <> b").distinct(), "ends")
+        if ends.isEmpty():
+            drop_stash(ends)
+            return
         joined = stash(components(ends), "joined")
+        drop_stash(ends)
         moved = self.group.join(joined.selectExpr("id AS component", "component AS now"), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
         before, self.group = self.group, stash(moved.unionByName(joined.join(self.group.select("id"), "id", "left_anti")), "groups")
         drop_stash(joined)
@@ -232,12 +236,17 @@ def _by_lead(found: _Links, rows: DataFrame, percent: int) -> DataFrame:
     """Rows (key, doc_id, n) of buckets with several components as groups (key, doc_id,
     n, lead) of like sizes under one lead, the smallest document of the component with
     most rows: buckets of the same cluster become one group. Partners are in one or in
-    neighbouring ranges of sizes, so each document goes into two."""
+    neighbouring ranges of sizes, so a group has two ranges, and each document goes into
+    two groups; into one where the range before its own, or the one after, is empty."""
     rows = found.labelled(rows)
     parts = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     main = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "c"))["c"].alias("lead")).where("parts > 1").select("key", "lead")
     spread = F.floor(F.log("n") / (np.log(100 / percent) + 1e-6))
-    wide = rows.join(main, "key").select("lead", "doc_id", "n").distinct().withColumn("range", F.explode(F.array(spread, spread + 1)))
+    wide = stash(rows.join(main, "key").select("lead", "doc_id", "n").distinct().withColumn("range", spread), "wide")
+    there = wide.groupBy("lead").agg(F.collect_set("range").alias("there"))
+    sides = [F.when(F.array_contains("there", F.col("range") - 1), F.col("range")), F.when(F.array_contains("there", F.col("range") + 1), F.col("range") + 1)]
+    groups = F.array_compact(F.array(*sides))
+    wide = wide.join(there, "lead").withColumn("range", F.explode(F.when(F.size(groups) > 0, groups).otherwise(F.array("range"))))
     return wide.select(F.xxhash64("lead", "range").alias("key"), "doc_id", "n", "lead")
 
 
@@ -262,18 +271,28 @@ def _open(found: _Links, related: DataFrame, percent: int) -> tuple[DataFrame, D
     first, as no partner has them. Where it is none, D and X may do without a common
     one, if the shingles of the lead that each holds are enough for both sizes: these
     pairs are given as such.
+
+    The filter holds for any order of the shingles. So D's first ones by hash, which need
+    no counting, tell beforehand who may have a partner; only the shingles of these are
+    all laid out and counted.
     """
     whole = 100 + percent
     least = related.groupBy("key").agg(F.min("n").alias("least"))
     partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     rows = found.labelled(related).join(least, "key").withColumn("lacks", F.ceil((F.col("n") + partner) * percent / whole) - F.col("held"))
     rows = stash(rows.drop("least", "lead", "n_lead"), "lacking")
-    each = rows.select("key", "doc_id", "c", F.explode("rest").alias("x"))
-    common = each.groupBy("key", "x").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "x", "df")
-    mine = each.join(common, ["key", "x"]).groupBy("key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("common"))
-    chosen = F.size("rest") - F.greatest("lacks", F.lit(1)) + 1 - (F.size("rest") - F.size("common"))
+    first = F.size("rest") - F.greatest("lacks", F.lit(1)) + 1
+    head = rows.where(first > 0).select("key", "doc_id", "c", F.explode(F.slice("rest", F.lit(1), first.cast("int"))).alias("x"))
+    head = stash(head, "heads")
+    several = lambda each: each.groupBy("key", "x").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "x", "df")
+    met = stash(head.join(several(head), ["key", "x"]).select("key", "doc_id").distinct(), "met")
+    each = stash(rows.join(met, ["key", "doc_id"], "left_semi").select("key", "doc_id", "c", F.explode("rest").alias("x")), "laid")
+    mine = each.join(several(each), ["key", "x"]).groupBy("key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("common"))
+    chosen = first - (F.size("rest") - F.size("common"))
     groups = rows.join(mine, ["key", "doc_id"]).where(chosen > 0).select("key", "doc_id", "n", F.explode(F.slice("common", F.lit(1), chosen.cast("int"))).alias("x"))
-    groups = groups.select(F.xxhash64("key", "x.x").alias("key"), "doc_id", "n")
+    groups = stash(groups.select(F.xxhash64("key", "x.x").alias("key"), "doc_id", "n"), "groups")
+    for done in (head, met, each):
+        drop_stash(done)
     # Pairs that need no shingle beyond the lead's. reach: the largest partner of a document.
     bare = rows.where("lacks <= 0").select("key", "doc_id", "n", "c", F.floor(F.col("held") * whole / percent - F.col("n")).alias("reach"))
     main = bare.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "c"))["c"].alias("main")).where("parts > 1").drop("parts")
