@@ -174,6 +174,55 @@ def test_an_album_that_ends_in_its_batch_reads_its_state_once():
     assert [(r.status, r.analysed, r.at) for r in found] == [("assembled", 2, 2)] and handle.calls == ["get"]
 
 
+def test_albums_of_a_block_share_a_state_that_is_written_once_a_batch():
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, get, now, calls = False, False, None, 0, ()
+        getCurrentWatermarkMs = lambda self: self.now
+
+        def update(self, x):
+            self.exists, self.get, self.calls = True, x, (*self.calls, "update")
+
+        def setTimeoutTimestamp(self, t):
+            self.due = t
+
+        def remove(self):
+            self.exists, self.calls = False, (*self.calls, "remove")
+
+    columns = ["place", "micros", "follows", "post", "description", "none", "expected", "item"]
+    opened = pd.DataFrame([(p, p * 1000, False, 0, "", True, 2, "") for p in range(1000)], columns=columns)
+    posts = pd.DataFrame([(p, 2_000_000, True, i, "", False, 1 << 40, "{}") for p in range(500) for i in (1, 2)], columns=columns)
+    run, state = albums._blocks(10_000_000), State()
+    assert list(run((-3,), iter([opened]), state)) == [] and state.calls == ("update",) and state.due == 10_000
+    [found] = run((-3,), iter([posts]), state)
+    assert state.calls == ("update", "update") and set(found["status"]) == {"assembled"} and sorted(found["place"]) == list(range(500)) and set(found["items"]) == {"[{},{}]"}
+    state.hasTimedOut, state.now = True, 10_700
+    [found] = run((-3,), iter([opened.head(0)]), state)
+    assert sorted(found["place"]) == list(range(500, 700)) and set(found["status"]) == {"expired"} and state.due == 10_700
+    state.now = 99_000
+    assert len(next(run((-3,), iter([opened.head(0)]), state))) == 300 and state.calls[-1] == "remove"
+
+
+def test_albums_by_blocks_are_those_of_a_state_for_each(spark, tmp_path):
+    rng = random.Random(11)
+    ids = [None, -1500, -1, 0, 1, 2, 1022, 1023, 1024, 5000, 1 << 40]
+    rows = []
+    for hour in range(120):
+        for k in range(rng.randint(0, 6)):
+            album, post = rng.choice(ids), rng.choice([None, 0, 1, 2, 3])
+            rows.append((hour * 60 + k, album, "album", None, rng.randint(0, 3), None, None, None) if rng.random() < 0.3 else (hour * 60 + k, album, "analysis", post, None, rng.choice([None, "", ' "d\n', "x"]), rng.choice([None, [], ["A ", None]]), rng.choice([None, True])))
+    df = spark.createDataFrame(rows, "m int, album long, kind string, post long, expected int, description string, labels array<string>, is_meme boolean").withColumn("has_text", F.lit(False))
+    df = df.withColumn("at", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m)"))
+    for low in range(0, 7200, 1440):
+        df.where((F.col("m") >= low) & (F.col("m") < low + 1440)).drop("m").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: jobs.read_new(spark, str(tmp_path / "in"), df.drop("m").schema, 1).withWatermark("at", "0 seconds")
+    whole, each = (jobs.drain(f(stream(), 36_000), settings=jobs.ROCKS) for f in (albums.assemble, albums.assemble_each))
+    assert whole.dtypes == each.dtypes
+    got, wanted = (sorted(map(str, x.collect())) for x in (whole, each))
+    assert got == wanted and {"assembled", "expired"} == {r.status for r in whole.collect()} and len(got) > 20
+
+
 def test_idle_counts_give_back_a_batch_in_pieces_and_go_on_from_the_state(spark, monkeypatch):
     import pandas as pd
 
