@@ -1,6 +1,7 @@
 """Answers of the reference, by literal examples and by loops that do what it does."""
 
 import json
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions import urls, values
 from tributary.operators import conversation
+from tributary.plans.registry import queries
 
 
 def test_parameters_keep_their_order_within_a_name_and_are_encoded_anew(spark):
@@ -161,3 +163,24 @@ def test_groups_equal_a_loop(spark):
         frequency = {r.id: (r.frequency, -r.place) for r in nodes.collect()}
         found = {r.cluster: (r.representative, r.members) for r in vectors.represented(groups, nodes, 3).collect()}
         assert found == {h: (max(sizes[h], key=frequency.get), sorted(sizes[h])) for h in big}
+
+
+def looped_top(messages, limit):
+    """messages (turn, role, text): `_select_top_messages` with the query's stand-ins for replies, reactions and media; its ranking gets no links, so no penalties."""
+    if len(messages) <= limit:
+        return [m[0] for m in messages]
+    latest = max(m[0] for m in messages)
+    score = lambda t, role, x: round(0.5 * math.exp(-math.log(2) / 180 * (latest - t)) + 0.25 * (role == "assistant") + 0.15 * min(1, len(x) / 400) + 0.1 * min(1, t % 7 / 5) + 0.1 * min(1, t % 3 / 4), 4)
+    ranking = sorted(messages, key=lambda m: (score(*m), m[0]), reverse=True)
+    top = {m[0] for m in ranking[:limit]}
+    chosen = [m for m in messages if m[0] in top]
+    rest = sorted((m for m in messages if m[0] not in top), key=lambda m: m[0], reverse=True)
+    return sorted(m[0] for m in [*chosen, *rest[: max(0, limit - len(chosen))]])
+
+
+def test_top_messages_are_those_of_the_reference(spark, tmp_path):
+    rng = random.Random(4)
+    groups = {g: [(t, rng.choice(["user", "assistant"]), "x" * rng.randint(0, 500)) for t in range(n)] for g, n in enumerate([1, 4, 5, 6, 12, 40, 300])}
+    spark.createDataFrame([(g, *m) for g, rows in groups.items() for m in rows], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.group_id: r.turns for r in queries()["top_messages_in_order"](spark, str(tmp_path)).collect()}
+    assert got == {g: ",".join(map(str, looped_top(rows, 5))) for g, rows in groups.items()}
