@@ -7,9 +7,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tributary.llm import near_dedup, substring_dedup
+from tributary.llm import common, near_dedup, substring_dedup
 from tributary.llm.common import WordHashes, components, shingles, text_shingles, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,6 +134,28 @@ def test_near_duplicates_of_repeated_ids_long_texts_and_string_ids(spark):
     assert got == {("a", "a"), ("b", "b"), ("c", "a"), ("d", "a"), ("e", "e")}
 
 
+def test_what_near_duplicates_broadcast_is_bounded(spark, monkeypatch):
+    held = []
+    plain = near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda edges: held.append(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")) or plain(edges))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 5) * 100 + k}" for k in range(60)) + (" end" if i > 9 else "")) for i in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)  # all ids by their hashes
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: i % 5 for i in range(20)}
+    assert held and all(int(x) <= common.BROADCAST_BYTES for x in held) and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "struct<a:long,b:string>"])
+def test_rows_likely_among_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(common, "BROADCAST_IDS", 10)
+    rows = spark.range(3000).select((F.col("id").cast(kind) if kind in ("long", "string") else F.struct(F.col("id").alias("a"), F.lit("x").alias("b"))).alias("doc_id"), "id")
+    rows = rows.unionByName(spark.createDataFrame([(None,)], "id long").select(F.lit(None).cast(kind).alias("doc_id"), "id"))
+    for n in (0, 7, 500):
+        found = [r.id for r in common.likely_among(rows, rows.where(f"id < {n}").select("doc_id")).collect()]
+        assert set(range(n)) <= set(found) and len(found) <= n + 2
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     schema = "doc_id long, text string, n_shingles string, component string"
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0

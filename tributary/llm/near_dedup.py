@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, bounded_broadcast, chunks, components, drop_stash, mix, stash, table, text_shingles, texts
+from .common import batches_of, chunks, components, drop_stash, likely_among, mix, small_broadcasts, stash, table, text_shingles, texts
 
 #: Registers of a sketch and the bands they are cut into: at a similarity of 0.85
 #: a pair shares no band once in 10^7 times, at 0.8 once in 10^5.
@@ -327,8 +327,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     verified, or proven to be no link, and no step makes more rows than its group has
     rows and rare shingles.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
+    with small_broadcasts(docs.sparkSession):
+        sketches, group = _components(docs, width, percent)
+    # A hint, as this runs outside.
+    return (
+        sketches.join(group.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    )
+
+
+def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles) of all rows, and (id, component) of the linked ones; see near_duplicates."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = stash(docs.mapInArrow(_sketches(width), f"doc_id {kind}, n_shingles long, same long, registers binary"), "sketches")
     known = sketches.where("doc_id IS NOT NULL AND same IS NOT NULL")
     classes = known.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("first"))
@@ -339,9 +351,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last")
     buckets = stash(rows.join(shared, "key"), "buckets")
     drop_stash(rows)
-    asked = bounded_broadcast(buckets.select("doc_id").distinct())
-    sets = stash(docs.join(asked, "doc_id", "left_semi").mapInArrow(_full(width), f"doc_id {kind}, found binary"), "sets")
-    drop_stash(asked)
+    asked = likely_among(docs, buckets.select("doc_id").distinct())
+    sets = stash(asked.mapInArrow(_full(width), f"doc_id {kind}, found binary"), "sets")
     found = _Links(firsts, sets, copies, percent)
     others = buckets.where("doc_id > lead")
     few = others.where(f"size > 2 AND size <= {SMALL}").withColumn("c", F.col("doc_id"))
@@ -361,12 +372,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         rows, pairs = _open(found, related, percent)
     for done in (buckets, sets, firsts, copies):
         drop_stash(done)
-    return (
-        sketches.select("doc_id", "n_shingles")
-        .join(found.group.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    return sketches.select("doc_id", "n_shingles"), found.group
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
