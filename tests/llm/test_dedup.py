@@ -284,6 +284,21 @@ def chains_corpus():
     return rows
 
 
+def test_rows_of_a_key_meet_its_lead_after_one_shuffle(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), rng.randrange(30), rng.randrange(9), 9, rng.random() < 0.4) for _ in range(150)]
+    df = substring_dedup._grouped(spark.createDataFrame(rows, "key long, doc_id long, at int, last int, ask boolean").repartition(3))
+    wanted = []
+    for key in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == key]
+        lead = min(r[1:4] for r in own)
+        if any(ask and d > lead[0] for _, d, _, _, ask in own):
+            wanted += [(*r, *lead, len(own)) for r in own if r[1] > lead[0]]
+    assert sorted(map(tuple, df.collect())) == sorted(wanted) and 0 < len(wanted) < len(rows)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" in plan and "Join" not in plan and "Aggregate" not in plan
+
+
 def test_near_passages_of_chains_and_behind_a_line(spark):
     rows = chains_corpus()
     hashes = WordHashes()
